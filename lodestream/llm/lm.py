@@ -226,7 +226,7 @@ class LogBilinear:
         ctx = np.flatnonzero(counts.sum(1))
         c2, c1 = ctx // CLASSES, ctx % CLASSES
         p = {"q": rng.standard_normal((CLASSES, DIM)) * 0.1, "r": rng.standard_normal((CLASSES, DIM)) * 0.1, "k1": np.ones(DIM), "k2": np.ones(DIM) * 0.5, "b": np.log(q)}
-        p = {k: v.astype(np.float32) for k, v in p.items()}
+        p = {k: v.astype(np.float32) * np.float32(n > 0) for k, v in p.items()}  # untrained: uniform
         m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
         noise = np.log(NOISE * q)
         for step in range(1, STEPS + 1 if n else 1):

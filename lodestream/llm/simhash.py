@@ -31,7 +31,7 @@ from .common import cut, join_groups
 
 WIDTH, RADIUS = 3, 3
 SAMPLE = 65_536
-SHARD = 20_000
+SHARD = 100_000
 LEAF = 1024
 _PART = 1 << 16
 

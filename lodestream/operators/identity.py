@@ -28,7 +28,7 @@ def identified(parsed: DataFrame) -> DataFrame:
         norm_text(F.col(f"{tm}.artist_name")).alias("artist_name"),
         norm_text(F.col(f"{tm}.track_name")).alias("track_name"),
         norm_text(F.coalesce(F.col(f"{tm}.release_name"), F.col(f"{add}.release_name"))).alias("release_name"),
-        blank_to_null(first("recording_mbid", "Recording_mbid")).alias("mbid"),
+        blank_to_null(F.coalesce(first("recording_mbid"), F.get_json_object("line", "$.track_metadata.additional_info.Recording_mbid"))).alias("mbid"),
         F.coalesce(release_date(first("release_date", "first_release_date", "date", "year", "release_year", "original_release_date")), release_date(F.coalesce(f"{tm}.release_date", f"{tm}.first_release_date", f"{tm}.date"))).alias("release_date"),
     )
     return df.withColumn("recording_id", recording_key(F.col("mbid"), F.col("artist_name"), F.col("track_name"), F.col("release_name")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 LISTEN = (
     "timestamp long, track_metadata struct<track_name:string, artist_name:string, release_name:string, release_date:string, first_release_date:string, date:string, "
-    "additional_info:struct<artist_mbids:string, artist_names:string, release_artist_names:string, recording_mbid:string, Recording_mbid:string, release_name:string, "
+    "additional_info:struct<artist_mbids:string, artist_names:string, release_artist_names:string, recording_mbid:string, release_name:string, "
     "release_date:string, first_release_date:string, date:string, year:string, release_year:string, original_release_date:string>>"
 )
 

@@ -71,7 +71,7 @@ def test_merge(spark):
 def test_facts_replace_partitions(spark, tmp_path):
     df = spark.createDataFrame([("d", 1, 5)], "id string, dump_id long, n long")
     for n in (5, 7):
-        store.write_facts(df.withColumn("n", F.lit(n)), str(tmp_path / "f"))
+        store.write_facts(df.withColumn("n", F.lit(n).cast("long")), str(tmp_path / "f"))
     store.write_facts(df.withColumn("dump_id", F.lit(2)), str(tmp_path / "f"))
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "f")).collect()) == [5, 7]
 

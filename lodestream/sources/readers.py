@@ -35,7 +35,7 @@ def archive_lines(spark: SparkSession, path: str, inside: str = "/listens/", suf
             for name in b["path"]:
                 out, n = [], 0
                 store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
-                with store.open_input_stream(at) as f, zstandard.ZstdDecompressor().stream_reader(f) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+                with store.open_input_stream(at, compression=None) as f, zstandard.ZstdDecompressor().stream_reader(f) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
                     for member in tar:
                         if not member.isfile() or inside not in f"/{member.name}" or not member.name.endswith(suffix):
                             continue

@@ -31,8 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 12_000_000
-HELD = 800_000
+BLOCK_CHARS = 5_000_000
+HELD = 400_000
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s$")
 _NONE = np.iinfo(np.int32).max
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         out = []
         for x in c.encode(texts):
             row = (len(x), hashlib.sha256(c.decimal(x)).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest())
-            out.append((*row, x.tolist()) if ids else row)
+            out.append((*row, x.astype(np.int32)) if ids else row)
         frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + ids])
         frame.insert(0, "__id", names)
         return frame

@@ -82,13 +82,14 @@ def mean_profiles(spark, d):
 
 
 def _history(spark, d):
-    return recommend.positives(ratings(spark, d)).filter("item_id < 500 and user_id % 10 = 0").select("user_id", "item_id", "ts")
+    """All positives of items that have a vector."""
+    return recommend.positives(ratings(spark, d)).select("user_id", "item_id", "ts").join(_items(spark, d).select("item_id"), "item_id", "left_semi")
 
 
 @query()
 def content_recommend(spark, d):
     h = _history(spark, d)
-    users = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id"))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     return recommend.content_recommend(users, h, _items(spark, d), h, ratings(spark, d), 5)
 
 

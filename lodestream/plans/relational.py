@@ -50,7 +50,7 @@ shared(
     "SELECT p_partkey, array_join(array_distinct(split(p_name, ' ', -1)), ' ') AS words FROM {part}",
 )
 shared("project_rename_cast", "SELECT l_orderkey AS order_id, CAST(l_quantity AS INT) AS quantity, l_extendedprice * (1 - l_discount) > 10000 AS large, 1.0 AS weight FROM {lineitem}".replace("1.0 AS", "CAST(1 AS DOUBLE) AS"))
-shared("try_cast_numbers", "SELECT doc_id, TRY_CAST(trim(left(text, 3)) AS INT) AS n FROM {documents}")
+shared("try_cast_numbers", "SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR(9)) END AS INT) AS n FROM {part}")
 shared("value_map", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS status FROM {orders}")
 shared("half_open_range", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 shared("ilike_contains", "SELECT p_partkey FROM {part} WHERE p_name ILIKE '%A%' AND coalesce(contains(upper(p_type), 'E'), false)")

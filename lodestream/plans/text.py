@@ -14,9 +14,9 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(coalesce(left(text, 200), ''), '\\s+', ' ', 'g'))) AS token FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS token FROM documents")
 def norm_token(spark, d):
-    return _docs(spark, d).select("doc_id", t.norm_token(F.left("text", F.lit(200))).alias("token"))
+    return _docs(spark, d).select("doc_id", t.norm_token(F.col("text")).alias("token"))
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as t
 from lodestream.operators import evaluate, identity, impute, profile, recommend, stats, store
-from lodestream.sources import readers
+from lodestream.sources import readers, sinks
 from lodestream.streaming import ingest
 
 
@@ -159,3 +159,29 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 140
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    own = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = [(i, f"n{i}" if i % 3 else None) for i in range(20)]
+    sinks.jdbc_overwrite(spark.createDataFrame(rows, "id int, name string"), url, "things", own, rows=7, keep=False)
+    assert sorted(tuple(r) for r in sinks.jdbc(spark, url, "things", own, key="id", parts=4).collect()) == rows
+    assert sinks.jdbc(spark, url, '(SELECT * FROM things WHERE "id" < 5) q', own).count() == 5
+    sinks.jdbc_overwrite(spark.createDataFrame([], "id int, name string"), url, "things", own)
+    assert sinks.jdbc(spark, url, "things", own, key="id").count() == 0
+
+
+def test_results_documents_and_lines(spark, tmp_path):
+    df = spark.createDataFrame([("Ann, B.", 1), (None, 2)], "name string, age int")
+    path = sinks.numbered(df, str(tmp_path), "recs", 3, "2026-01-02")
+    assert path.endswith("recs_0003_2026-01-02")
+    assert sorted(r.age for r in spark.read.csv(path, header=True, schema="name string, age int").collect()) == [1, 2]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        sinks.numbered(df, str(tmp_path), "recs", 3, "2026-01-02")
+    sinks.metrics(spark, {"auc": 0.5, "f1": float("nan"), "lift": None}, str(tmp_path / "m"))
+    assert [tuple(r) for r in spark.read.schema("auc double, f1 double, lift double").json(str(tmp_path / "m")).collect()] == [(0.5, None, None)]
+    (tmp_path / "d.json").write_text('[{"name": "A", "age": 3},\n {"name": "B"}]')
+    assert sorted((r.name, r.age) for r in sinks.documents(spark, str(tmp_path / "d.json"), "name string, age int").collect()) == [("A", 3), ("B", None)]
+    (tmp_path / "t.txt").write_text("one\n\ntwo, three\n")
+    assert [r.value for r in sinks.text_lines(spark, str(tmp_path / "t.txt")).collect()] == ["one", "", "two, three"]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .order import running
+
 
 def recall_ndcg(recs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One held-out item per user: share found in the first ``k``, and mean of 1/log2(rank + 1) with rank from 1."""
@@ -57,10 +60,10 @@ def best_f1(df: DataFrame, thresholds: list[float], score: str = "score", truth:
 
 
 def value_ranks(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """Per distinct score: rows and positives, and both above it. The window runs over distinct scores."""
+    """Per distinct score: rows and positives, and both at or above it."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(truth) == 1).alias("pos"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumn("n_above", F.sum("n").over(w)).withColumn("pos_above", F.sum("pos").over(w))
+    by = cut(by.withColumn("__down", -F.col("s").cast("double")), "scores")
+    return running(by, "__down", "__down", {"n_above": "n", "pos_above": "pos"}).drop("__down")
 
 
 def roc_auc(df: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:

@@ -6,10 +6,10 @@ smallest (archive, member, line) wins. Names without alias get a derived id. An
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, day_from_unix, has_collab, json_list, norm_text, recording_key, release_date, split_credit
+from ..functions.text import blank_to_null, day_from_unix, has_collab, json_list, norm_text, norm_token, recording_key, release_date, split_credit, uuid5
 
 
 def identified(parsed: DataFrame) -> DataFrame:
@@ -82,3 +82,58 @@ def counters(parsed: DataFrame, rows: DataFrame) -> DataFrame:
         F.count_if(dated & signal & F.col("recording_id").isNull()).alias("dropped_missing_identity"),
     )
     return a.join(F.broadcast(b), F.lit(True))
+
+
+def entities(rows: DataFrame, key: str, name: str, ids: str, alias: DataFrame | None = None) -> DataFrame:
+    """The entities of each credit: key, pos, entity_id, entity_name, derived.
+
+    Given ids (array ``ids``) and the names that the credit splits into are paired by position. An id without
+    a name takes the name where there is just one; a name without an id takes its alias (``alias``: token, entity_id),
+    else the id derived from it. Of repeated ids in a credit the first counts. ``key`` is unique.
+    """
+    given = F.array_distinct(F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    df = rows.select(F.col(key), given.alias("__ids"), split_credit(F.col(name)).alias("__names"))
+    df = df.select(key, F.size("__names").alias("__n"), F.get("__names", F.lit(0)).alias("__only"), F.posexplode(F.arrays_zip("__ids", "__names")).alias("pos", "__e"))
+    df = df.select(key, "pos", "__n", "__only", F.col("__e.__ids").alias("__given"), F.col("__e.__names").alias("__name"))
+    df = df.withColumn("__token", F.when(F.col("__given").isNull(), norm_token(F.col("__name"))))
+    if alias is not None:
+        known = alias.groupBy(F.col("token").alias("__token")).agg(F.min("entity_id").alias("__known"))
+        df = df.join(known, "__token", "left")
+    else:
+        df = df.withColumn("__known", F.lit(None).cast("string"))
+    df = df.select(
+        key,
+        "pos",
+        F.coalesce("__given", "__known", uuid5(F.col("__name"))).alias("entity_id"),
+        F.when(F.col("__name").isNotNull(), F.col("__name")).when(F.col("__n") == 1, F.col("__only")).alias("entity_name"),
+        (F.col("__given").isNull() & F.col("__known").isNull()).alias("derived"),
+    )
+    return df.groupBy(key, "entity_id").agg(F.min("pos").alias("pos"), F.min_by(F.struct("entity_name", "derived"), "pos").alias("x")).select(key, "pos", "entity_id", "x.*")
+
+
+def remap(rows: DataFrame, seq: str = "seq", entity: str = "entity_id", name: str = "name") -> DataFrame:
+    """Old to new ids where a name is a credit of several: old_id, new_id, name, derived.
+
+    Rows count in the order of ``seq`` (unique). The first name keeps the old id and stands for it from then on; a further
+    name takes the id that it stands for at that row, else the id of the first row so named, else one derived from
+    it. Ids whose names agree after normalisation become the first such id. Each step is one window per name or id.
+    """
+    rows = rows.select(F.col(seq).alias("seq"), F.col(entity).alias("old_id"), F.col(name).alias("name"))
+    base = rows.withColumn("token", norm_token(F.col("name"))).filter("token <> '' and old_id is not null").groupBy("token").agg(F.min_by("old_id", "seq").alias("base"))
+    parts = rows.select("seq", "old_id", "name", F.posexplode_outer(split_credit(F.col("name"))).alias("pos", "part"))
+    parts = parts.select("seq", "old_id", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("part", "name").alias("name"), F.col("part").isNull().alias("whole"), F.lower(F.trim("part")).alias("token"))
+    split = parts.filter("not whole").join(base, "token", "left")
+    up_to = Window.partitionBy("token").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    stands = F.last(F.when(F.col("pos") == 0, F.col("old_id")), ignorenulls=True).over(up_to)
+    asked = F.count(F.when(F.col("pos") > 0, 1)).over(up_to)
+    split = split.withColumn("__stands", F.coalesce(stands, "base")).withColumn("__asked", asked)
+    made = (F.col("pos") > 0) & F.col("__stands").isNull()
+    split = split.select("seq", "pos", "old_id", F.when(F.col("pos") == 0, F.col("old_id")).otherwise(F.coalesce("__stands", uuid5(F.col("name")))).alias("new_id"), "name", (made & (F.col("__asked") == 0)).alias("derived"))
+    every = split.unionByName(parts.filter("whole").select("seq", "pos", "old_id", F.col("old_id").alias("new_id"), "name", F.lit(False).alias("derived")))
+    order = F.struct("seq", "pos")
+    every = every.groupBy("old_id", "new_id").agg(F.min(order).alias("at"), F.min_by(F.struct("name", "derived"), order).alias("x")).select("at", "old_id", "new_id", "x.*")
+    named = every.withColumn("key", norm_token(F.col("name"))).filter("key <> ''")
+    first = named.groupBy("key").agg(F.min_by("new_id", "at").alias("canonical"), F.min("at").alias("first_at"))
+    moved = named.join(first, "key").filter("at <> first_at").groupBy("new_id").agg(F.max_by("canonical", "at").alias("canonical"))
+    out = every.join(moved, "new_id", "left").withColumn("to", F.coalesce("canonical", "new_id")).withColumn("derived", F.col("derived") & (F.col("to") == F.col("new_id")))
+    return out.groupBy("old_id", "to").agg(F.min_by(F.struct("name", "derived"), "at").alias("x")).select("old_id", F.col("to").alias("new_id"), "x.*")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def hash_mask(key: Column, per_mille: int) -> Column:
     """True for about ``per_mille`` of a thousand keys, the same on every run and engine."""
@@ -20,14 +22,14 @@ def constant(df: DataFrame, column: str, value) -> DataFrame:
 def statistic(df: DataFrame, column: str, how: str = "median") -> DataFrame:
     """Fill with the column's exact median or mean."""
     x = F.col(column).cast("double")
-    s = df.agg((F.percentile(x, F.lit(0.5)) if how == "median" else F.avg(x)).alias("__s"))
+    s = quantiles(df, column, [0.5]).select(F.col("q")[0].alias("__s")) if how == "median" else df.agg(F.avg(x).alias("__s"))
     return df.join(F.broadcast(s), F.lit(True)).withColumn(column, F.coalesce(x, "__s")).drop("__s")
 
 
 def group_median(df: DataFrame, column: str, group: str) -> DataFrame:
     """Fill with the median of the group's positive values."""
     x = F.col(column).cast("double")
-    m = df.filter(x > 0).groupBy(F.col(group).alias("__g")).agg(F.percentile(x, F.lit(0.5)).alias("__m"))
+    m = quantiles(df.filter(x > 0), column, [0.5], [group]).select(F.col(group).alias("__g"), F.col("q")[0].alias("__m"))
     return df.join(m, F.col(group) == F.col("__g"), "left").withColumn(column, F.coalesce(x, "__m")).drop("__g", "__m")
 
 
@@ -69,15 +71,17 @@ def nearest(df: DataFrame, key: str, column: str, by: list[str], k: int, donors:
     return df.withColumn(column, fill(F.col(column).cast("double"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in by])))
 
 
-def chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3) -> DataFrame:
+def chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3, candidates: int = 0, donors: int = 5000) -> DataFrame:
     """Chained equations: start from means, then predict each column from the others by least squares, in turn.
 
-    Normal equations are one aggregation of fixed size a column and round.
+    Normal equations are one aggregation of fixed size a column and round. With ``candidates`` the last round takes observed values
+    (predictive mean matching): of the donors whose predictions are the ``candidates`` nearest, one is chosen by the hash of ``key``.
+    Donors are at most ``donors`` observed rows, those of smallest hashed key.
     """
     means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
     out = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in columns})
     out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m if m is not None else 0.0)) for c, m in zip(columns, means)})
-    for _ in range(rounds):
+    for step in range(rounds):
         for c in columns:
             xs = [F.lit(1.0)] + [F.col(x) for x in columns if x != c]
             cells = [F.sum(a * b) for a in xs for b in xs] + [F.sum(a * F.col(c)) for a in xs]
@@ -87,5 +91,25 @@ def chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3) -> Dat
             n = len(xs)
             beta = np.linalg.lstsq(np.array(row[: n * n], float).reshape(n, n), np.array(row[n * n :], float), rcond=None)[0]
             guess = sum((F.lit(float(b)) * x for b, x in zip(beta, xs)), F.lit(0.0))
+            if candidates and step == rounds - 1:
+                pool = out.filter(~F.col(f"__m_{c}")).orderBy(F.xxhash64(key), key).limit(donors).select(guess.alias("g"), F.col(c).alias("v")).toPandas()
+                guess = _donor(pool.sort_values(["g", "v"]).to_numpy(float), candidates)(guess, F.pmod(F.xxhash64(key), F.lit(1 << 20)))
             out = out.withColumn(c, F.when(F.col(f"__m_{c}"), guess).otherwise(F.col(c)))
     return out.drop(*[f"__m_{c}" for c in columns])
+
+
+def _donor(pool: np.ndarray, candidates: int):
+    """Function of a prediction and a hash: the value of one of the donors with the nearest predictions; ``pool`` is sorted (prediction, value)."""
+    at_hand, have, k = pool[:, 0], pool[:, 1], min(candidates, len(pool))
+
+    @F.pandas_udf("double")
+    def pick(guess: pd.Series, number: pd.Series) -> pd.Series:
+        g = guess.to_numpy(float)
+        lo = np.searchsorted(at_hand, g) - k
+        near = np.clip(lo[:, None] + np.arange(2 * k), 0, len(at_hand) - 1)
+        off = np.abs(at_hand[near] - g[:, None])
+        off[:, 1:][near[:, 1:] == near[:, :-1]] = np.inf  # places beyond either end
+        best = np.take_along_axis(near, np.argsort(off, 1, kind="stable")[:, :k], 1)
+        return pd.Series(have[best[np.arange(len(g)), number.to_numpy(np.int64) % k]])
+
+    return pick

@@ -18,6 +18,31 @@ def gbt_classifier(df: DataFrame, features: list[str], label: str, depth: int =
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(maxDepth=depth, maxIter=rounds, seed=seed, weightCol="weight")]).fit(x)
 
 
+def gbt_regressor(df: DataFrame, features: list[str], label: str, depth: int = 4, rounds: int = 20, seed: int = 42):
+    """Gradient-boosted trees for a number; missing features become 0, rows without label don't train. Returns the fitted pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], F.col(label).cast("double").alias("label")).filter("label is not null")
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed)]).fit(x)
+
+
+def importances(fitted, features: list[str]) -> list[tuple[str, float]]:
+    """Features of a fitted tree pipeline by their share of the gain, largest first."""
+    return sorted(zip(features, map(float, fitted.stages[-1].featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
+
+
+def expanding_folds(df: DataFrame, day: str, folds: int) -> DataFrame:
+    """Rows by fold and part: fold i trains on the first i of ``folds`` + 1 equal stretches of distinct days and tests on the next."""
+    days = df.select(day).distinct()
+    n = days.count()
+    stretch = F.least(F.floor((F.row_number().over(Window.orderBy(day)) - 1) * (folds + 1) / F.lit(max(1, n))), F.lit(folds)).cast("int")
+    days = days.select(F.col(day).alias("__day"), stretch.alias("__stretch"))
+    out = df.join(F.broadcast(days), F.col(day) == F.col("__day")).withColumn("fold", F.explode(F.sequence(F.greatest(F.col("__stretch"), F.lit(1)), F.lit(folds))))
+    return out.withColumn("part", F.when(F.col("__stretch") < F.col("fold"), "train").otherwise("test")).drop("__day", "__stretch")
+
+
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """One-variable least squares: slope, intercept, r2."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, unit
+from .order import quantiles
 
 
 def positives(ratings: DataFrame, least: int = 4) -> DataFrame:
@@ -31,7 +32,7 @@ def popular(ratings: DataFrame, k: int, least: int = 4) -> DataFrame:
 def top_users(ratings: DataFrame, share: float = 0.95) -> DataFrame:
     """Users whose number of ratings reaches the quantile."""
     n = ratings.groupBy("user_id").agg(F.count("*").alias("n"))
-    q = n.agg(F.percentile("n", F.lit(share)).alias("__q"))
+    q = quantiles(n, "n", [share]).select(F.col("q")[0].alias("__q"))
     return n.join(F.broadcast(q), F.col("n") >= F.col("__q")).drop("__q")
 
 

@@ -56,16 +56,23 @@ def survivors(df: DataFrame, name_key, referenced: str, entity: str) -> DataFram
     return df.withColumn("name_key", name_key).withColumn("rn", F.row_number().over(w))
 
 
+def _first(df: DataFrame, where, order: list[str]) -> DataFrame:
+    """Column __hit: true for the first matching row by ``order``. The least key is one small aggregation; only rows that share it are numbered."""
+    key = F.struct(*order)
+    least = df.filter(where).agg(F.min(key).alias("__least"))
+    df = df.join(F.broadcast(least), F.lit(True)).withColumn("__tied", F.coalesce(where, F.lit(False)) & (key == F.col("__least")))
+    tied = df.filter("__tied").withColumn("__hit", F.row_number().over(Window.partitionBy("__least").orderBy(*order)) == 1)
+    return df.filter("not coalesce(__tied, false)").withColumn("__hit", F.lit(False)).unionByName(tied).drop("__least", "__tied")
+
+
 def update_one(df: DataFrame, where, order: list[str], changes: dict) -> DataFrame:
     """Set columns in the first matching row by ``order``."""
-    hit = F.when(where, F.row_number().over(Window.partitionBy(where).orderBy(*order)) == 1).otherwise(False)
-    df = df.withColumn("__hit", hit)
+    df = _first(df, where, order)
     return df.withColumns({c: F.when(F.col("__hit"), F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}).drop("__hit")
 
 
 def delete_one(df: DataFrame, where, order: list[str]) -> DataFrame:
-    hit = F.when(where, F.row_number().over(Window.partitionBy(where).orderBy(*order)) == 1).otherwise(False)
-    return df.withColumn("__hit", hit).filter(~F.col("__hit")).drop("__hit")
+    return _first(df, where, order).filter(~F.col("__hit")).drop("__hit")
 
 
 def write_facts(df: DataFrame, path: str, partition: str = "dump_id") -> None:

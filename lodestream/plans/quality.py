@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import impute, models, profile
+from ..operators import impute, models, order, profile
 from ..session import table
 from .registry import query, shared
 
@@ -74,12 +74,18 @@ def pivot_counts(spark, d):
 shared("row_proportions", "SELECT o_orderpriority, o_orderstatus, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY o_orderpriority) AS DOUBLE), 6) AS share FROM {orders} GROUP BY 1, 2")
 shared("freq_table", "SELECT p_brand, count(*) AS n FROM {part} WHERE p_brand IS NOT NULL GROUP BY 1")
 shared("group_size_with_null", "SELECT nullif(o_orderstatus, 'P') AS status, o_orderpriority, count(*) AS n FROM {orders} GROUP BY 1, 2")
-shared("cdf", "SELECT c_custkey, round(row_number() OVER (ORDER BY c_acctbal, c_custkey) / CAST(count(*) OVER () AS DOUBLE), 6) AS cdf FROM {customer}")
 shared("log_histogram", "SELECT CAST(floor(log10(o_totalprice) * 4) AS BIGINT) AS bin, count(*) AS n FROM {orders} WHERE o_totalprice > 0 GROUP BY 1")
 shared("group_mean_median", "SELECT p_brand, round(avg(p_retailprice), 6) AS mean, round(median(p_retailprice), 6) AS median FROM {part} WHERE p_retailprice > 0 GROUP BY 1")
 shared("correlation_difference", "SELECT round(corr(l_quantity, l_extendedprice) - corr(CASE WHEN l_tax > 0.02 THEN l_quantity END, CASE WHEN l_tax > 0.02 THEN l_extendedprice END), 6) AS diff FROM {lineitem}")
 
 
+@query("SELECT c_custkey, round(row_number() OVER (ORDER BY c_acctbal, c_custkey) / CAST(count(*) OVER () AS DOUBLE), 6) AS cdf FROM customer")
+def cdf(spark, d):
+    x = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    n = x.agg(F.count("*").alias("n"))
+    return order.running(x, "c_acctbal", "c_custkey", {"i": "1"}).join(F.broadcast(n), F.lit(True)).select("c_custkey", F.round(F.col("i") / F.col("n"), 6).alias("cdf"))
+
+
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicates(spark, d):
     return profile.duplicates(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
@@ -144,6 +150,12 @@ def impute_chained(spark, d):
     return impute.chained(x, "l_orderkey", ["v", "q"]).select("l_orderkey", "l_linenumber", "v", "q")
 
 
+@query()
+def impute_matched(spark, d):
+    x = _masked(spark, d).withColumn("key", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("q", F.when(F.pmod("l_suppkey", F.lit(7)) > 0, F.col("l_quantity")))
+    return impute.chained(x, "key", ["v", "q"], candidates=5).select("l_orderkey", "l_linenumber", "v", "q")
+
+
 shared("boxcox_fixed_lambda", "SELECT o_orderkey, round((pow(o_totalprice, 0.5) - 1) / 0.5, 4) AS y FROM {orders} WHERE o_totalprice > 0")
 shared("log1p_clamp", "SELECT c_custkey, round(ln(1 + CASE WHEN c_acctbal IS NOT NULL THEN greatest(c_acctbal, 0) END), 6) AS y FROM {customer}")
 shared("guarded_ratios", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_discount, 0), 4) AS ratio, round(CASE WHEN l_tax > 0 THEN l_discount / l_tax END, 6) AS rel FROM {lineitem}")
@@ -158,7 +170,38 @@ def boxcox_lambda(spark, d):
 @query("""WITH m AS (SELECT avg(c_acctbal) AS mu FROM customer), c AS (SELECT count(*) AS n, avg(pow(c_acctbal - mu, 2)) AS m2, avg(pow(c_acctbal - mu, 3)) AS m3, avg(pow(c_acctbal - mu, 4)) AS m4 FROM customer, m)
 SELECT n, round(m3 / pow(m2, 1.5), 6) AS skew, round(m4 / (m2 * m2) - 3, 6) AS kurt FROM c""")
 def normality_moments(spark, d):
-    return _round(profile.normality(table(spark, d, "customer"), "c_acctbal"))
+    return _round(profile.normality(table(spark, d, "customer"), "c_acctbal")).select("n", "skew", "kurt")
+
+
+@query("""WITH m AS (SELECT avg(o_totalprice) AS mu FROM orders), c AS (SELECT count(*)::DOUBLE AS n, avg(pow(o_totalprice - mu, 2)) AS m2, avg(pow(o_totalprice - mu, 3)) AS m3, avg(pow(o_totalprice - mu, 4)) AS m4 FROM orders, m),
+s AS (SELECT n, m3 / pow(m2, 1.5) * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+ (m4 / (m2 * m2) - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS u,
+ 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS g FROM c),
+w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / g * (2 / g + sqrt(1 + 4 / (g * g))) AS a FROM s),
+z AS (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 1 + u * sqrt(2 / (a - 4)) AS d, a FROM w)
+SELECT round(z1 * z1 + pow((1 - 2 / (9 * a) - sign(d) * cbrt((1 - 2 / a) / abs(d))) / sqrt(2 / (9 * a)), 2), 3) AS k2 FROM z""")
+def normality_test(spark, d):
+    return profile.normality(table(spark, d, "orders"), "o_totalprice").select(F.round("k2", 3).alias("k2"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - lo) / (hi - lo) * 9 + 1, 6) AS y FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
+def min_max_scale(spark, d):
+    return profile.min_max(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("y")), ["y"], 1, 10).select("o_orderkey", F.round("y", 6).alias("y"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - m) / (b - a), 6) AS y FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) AS b FROM orders)")
+def robust_scale(spark, d):
+    return profile.robust(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("y")), ["y"]).select("o_orderkey", F.round("y", 6).alias("y"))
+
+
+@query("SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (pow(c_acctbal + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 4) AS y FROM customer")
+def yeo_johnson_fixed_lambda(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.round(profile.yeo_johnson(F.col("c_acctbal"), 0.5), 4).alias("y"))
+
+
+@query()
+def yeo_johnson_lambda(spark, d):
+    return spark.createDataFrame([(profile.yeo_johnson_lambda(table(spark, d, "customer"), "c_acctbal"),)], "lambda double")
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem")

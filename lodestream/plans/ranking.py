@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
-from ..operators import evaluate, models, recommend
+from ..operators import evaluate, models, order, recommend
 from ..operators import stats as st
-from ..session import table
+from ..session import cut, table
 from .daily import daily
 from .registry import query, shared
 
@@ -166,7 +166,15 @@ def precision_lift_at_k(spark, d):
 
 shared("entity_eval", """SELECT source, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, count(*) AS n, max(truth) AS any_true FROM
  (SELECT d.source, (d.n_chars % 1000) / CAST(1000.0 AS DOUBLE) AS score, l.toxic AS truth FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id) GROUP BY 1""")
-shared("top_share_flag", "SELECT user_id, n, CAST(row_number() OVER (ORDER BY n DESC, user_id) AS BIGINT) AS rk, row_number() OVER (ORDER BY n DESC, user_id) <= ceil(0.05 * count(*) OVER ()) AS top5 FROM (SELECT user_id, count(*) AS n FROM {events} GROUP BY 1)")
+
+
+@query("SELECT user_id, n, CAST(row_number() OVER (ORDER BY n DESC, user_id) AS BIGINT) AS rk, row_number() OVER (ORDER BY n DESC, user_id) <= ceil(0.05 * count(*) OVER ()) AS top5 FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def top_share_flag(spark, d):
+    n = cut(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), (-F.count("*")).alias("down")), "user-counts")
+    whole = n.agg(F.ceil(F.count("*") * 0.05).alias("most"))
+    return order.running(n, "down", "user_id", {"rk": "1L"}).join(F.broadcast(whole), F.lit(True)).select("user_id", "n", "rk", (F.col("rk") <= F.col("most")).alias("top5"))
+
+
 shared("daily_pred_vs_actual", "SELECT day, round(avg(pred), 6) AS pred, round(avg(act), 6) AS act FROM (SELECT CAST(ts AS DATE) AS day, value AS act, avg(value) OVER (PARTITION BY user_id) AS pred FROM {events}) GROUP BY 1")
 shared("regression_errors", "SELECT round(sqrt(avg((l_extendedprice - 1500 * l_quantity) * (l_extendedprice - 1500 * l_quantity))), 4) AS rmse, round(avg(abs(l_extendedprice - 1500 * l_quantity)), 4) AS mae FROM {lineitem}")
 
@@ -191,6 +199,36 @@ def gbt_classifier(spark, d):
     return m.transform(f.na.fill(0.0, cols).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})).select("day", "user_id", "prediction")
 
 
+_TREE = ["momentum_7d", "velocity_ratio", "ma_7", "std_7", "log_listens"]
+
+
+def _labelled(spark, d):
+    x = daily(spark, d)
+    s = st.daily_stats(x, "user_id")
+    f = st.features(s, x, "user_id").join(st.targets(s, "user_id", 0.95, 10).select("day", "user_id", "future_growth_pctl_7d"), ["day", "user_id"])
+    return f.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in _TREE})
+
+
+@query()
+def gbt_regressor(spark, d):
+    x = _labelled(spark, d)
+    m = models.gbt_regressor(x, _TREE, "future_growth_pctl_7d", depth=3, rounds=5)
+    return m.transform(x).select("day", "user_id", "prediction")
+
+
+@query()
+def feature_importance(spark, d):
+    m = models.gbt_regressor(_labelled(spark, d), _TREE, "future_growth_pctl_7d", depth=3, rounds=5)
+    return spark.createDataFrame(models.importances(m, _TREE), "feature string, importance double")
+
+
+@query("""WITH x AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), s AS (SELECT day, n, least(CAST(floor((row_number() OVER (ORDER BY day) - 1) * 5 / CAST(count(*) OVER () AS DOUBLE)) AS INT), 4) AS s FROM x)
+SELECT CAST(f AS INT) AS fold, CASE WHEN s < f THEN 'train' ELSE 'test' END AS part, CAST(sum(n) AS BIGINT) AS n FROM s, (SELECT unnest(range(1, 5)) AS f) WHERE s <= f GROUP BY 1, 2""")
+def time_folds(spark, d):
+    x = table(spark, d, "events").select(F.to_date("ts").alias("day"))
+    return models.expanding_folds(x, "day", 4).groupBy("fold", "part").agg(F.count("*").alias("n"))
+
+
 @query()
 def ridge_forecast(spark, d):
     return models.forecast(daily(spark, d), "day", "listen_count", 7, 5, "user_id")

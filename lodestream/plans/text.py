@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import identity
 from ..sources import readers
 from ..session import table
 from .registry import query, shared
@@ -51,6 +52,26 @@ def uuid5(spark, d):
     return table(spark, d, "nation").select("n_nationkey", t.uuid5(F.col("n_name")).alias("id"))
 
 
+_UUID = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+_SHA = "sha1(unhex('4f7f8d9c9f4f4f078fa6a1f6ef8f9f3a') || encode(lower(trim({c}))))"
+
+
+@query(f"""WITH h AS (SELECT c_custkey, c_name, c_mktsegment, {_SHA.format(c="c_name")} AS a, {_SHA.format(c="c_mktsegment")} AS b FROM customer)
+SELECT c_custkey, CAST(0 AS INT) AS pos, CASE WHEN c_custkey % 3 = 0 THEN 'id-' || c_custkey ELSE {_UUID.format(h="a")} END AS entity_id, c_name AS entity_name, c_custkey % 3 > 0 AS derived FROM h
+UNION ALL SELECT c_custkey, CAST(1 AS INT), CASE WHEN c_mktsegment = 'BUILDING' THEN 'seg-1' ELSE {_UUID.format(h="b")} END, c_mktsegment, c_mktsegment <> 'BUILDING' FROM h""")
+def credit_entities(spark, d):
+    c = table(spark, d, "customer")
+    x = c.select("c_custkey", F.concat("c_name", F.lit(" feat. "), "c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.concat(F.lit("id-"), F.col("c_custkey").cast("string")))).alias("ids"))
+    return identity.entities(x, "c_custkey", "name", "ids", spark.createDataFrame([("building", "seg-1")], "token string, entity_id string"))
+
+
+@query()
+def identity_remap(spark, d):
+    s = table(spark, d, "supplier")
+    name = F.concat(F.lit("Group "), (F.col("s_suppkey") % 50).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" & Group "), (F.col("s_suppkey") % 77).cast("string"))).otherwise(F.lit("")))
+    return identity.remap(s.select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("entity_id"), name.alias("name")))
+
+
 @query("SELECT p_partkey, coalesce(nullif(trim(CASE WHEN p_partkey % 2 = 0 THEN p_brand END), ''), CASE WHEN p_partkey % 3 > 0 THEN 'fallback::' || p_name || '||' || p_type || '||' || p_brand END) AS id FROM part")
 def recording_key(spark, d):
     even, third = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")), F.when(F.col("p_partkey") % 3 > 0, F.col("p_name"))

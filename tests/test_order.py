@@ -43,10 +43,11 @@ def test_quantiles_of_nothing(spark):
 def test_running(spark):
     x = _values(3000, 4)
     pdf = pd.DataFrame({"x": x, "i": np.random.default_rng(5).permutation(3000), "n": np.arange(3000) % 7})
-    got = order.running(spark.createDataFrame(pdf), "x", "i", {"rank": "1", "s": "n"}).toPandas().sort_values(["x", "i"])
+    got = order.running(spark.createDataFrame(pdf), "x", "i", {"rank": "1", "s": "n"}, enough=10).toPandas().sort_values(["x", "i"])
     assert len(got) == 3000 and (got["rank"].to_numpy() == np.arange(1, 3001)).all() and (got["s"].to_numpy() == got["n"].cumsum().to_numpy()).all()
     some = spark.createDataFrame([(None, 2), (None, 1), (5.0, 3)], "x double, i int")
-    assert sorted((r.i, r.r) for r in order.running(some, "x", "i", {"r": "1"}).collect()) == [(1, 1), (2, 2), (3, 3)]
+    for n in (1, 10):
+        assert sorted((r.i, r.r) for r in order.running(some, "x", "i", {"r": "1"}, enough=n).collect()) == [(1, 1), (2, 2), (3, 3)]
     assert order.running(some.limit(0), "x", "i", {"r": "1"}).count() == 0
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, chat, decontam, dedup, idfile, langid, lm, simhash, tokencount, toxicity
+from lodestream.llm import bpe, chat, decontam, dedup, idfile, langid, lm, similar, simhash, tokencount, toxicity
 
 WORDS = "the of and to in that it was for on are as with his they at be this have from".split()
 ITEM = "Quick brown foxes jump over seventeen lazy dogs while the moon shines on a quiet harbour town."
@@ -181,6 +181,25 @@ def test_shards_lose_no_pair(spark, monkeypatch):
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
+def test_similar(spark, docs, none):
+    r, texts = random.Random(8), []
+    for _ in range(40):
+        own = [f"{r.choice(WORDS)}{r.randint(0, 99)}" for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(own))
+        for _ in range(r.randint(0, 6)):  # edits spread over the text, from similarity 1 to about 0.6
+            texts.append(" ".join("new" + w if r.random() < 0.03 else w for w in own))
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (0, None)], "doc_id long, text string")
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    up = list(range(len(own)))
+    links = [(i, j) for j in range(len(own)) for i in range(j) if len(own[i] & own[j]) * 5 >= 4 * len(own[i] | own[j])]
+    for i, j in links * 2:
+        up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    got = {d: c for d, c in similar.near_duplicates(df).collect() if d}
+    assert len(links) > 40 and got == {i: x for i, x in enumerate(up) if i}
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() > len(set(up))
+    assert similar.near_duplicates(none).count() == 0 and similar.near_duplicates(docs).count() == len(ROWS)
+
+
 def test_bpe(docs, none):
     enc = tokencount.encoder(None)
     want = [[r[0], (ids := enc.encode_ordinary(r[1] or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] for r in ROWS]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order import quantiles
 
+RANGE = 200_000
+
 
 def hash_mask(key: Column, per_mille: int) -> Column:
     """True for about ``per_mille`` of a thousand keys, the same on every run and engine."""
@@ -46,37 +51,59 @@ def rmse(df: DataFrame, truth: str, guess: str, where: Column) -> DataFrame:
     return df.filter(where).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def nearest(df: DataFrame, key: str, column: str, by: list[str], k: int, donors: int = 5000) -> DataFrame:
+def nearest(df: DataFrame, key: str, column: str, by: list[str], k: int) -> DataFrame:
     """Fill with the mean of the ``k`` nearest donors (Euclidean over ``by``, missing coordinates left out and scaled up).
 
-    Donors are at most ``donors`` rows with a value, those of smallest hashed key: a fitted sample with a stated bound,
-    sent to every task, so each row is compared with a bounded set.
+    Every row with a value is a donor; among equally near ones the smallest hashed key goes first. Only ``k`` donors of equal
+    coordinates can count, so these are kept; blocks of them meet blocks of the distinct places to fill, and the best ``k`` are merged.
     """
-    got = df.filter(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(donors).select(column, *by).toPandas()
-    have, xs = got[column].to_numpy(float), got[by].to_numpy(float)
-
-    @F.pandas_udf("double")
-    def fill(y: pd.Series, at_hand: pd.Series) -> pd.Series:
-        out = y.to_numpy(float, copy=True)
-        todo = np.flatnonzero(np.isnan(out))
-        q = np.stack(at_hand.to_numpy()).astype(float)
-        for at in range(0, len(todo), 256):
-            d = q[todo[at : at + 256], None, :] - xs[None]
-            ok = ~np.isnan(d)
-            dist = np.where(ok.any(2), np.nansum(d * d, 2) * len(by) / np.maximum(1, ok.sum(2)), np.inf)
-            near = np.argsort(dist, 1, kind="stable")[:, :k]
-            out[todo[at : at + 256]] = have[near].mean(1)
-        return pd.Series(out)
-
-    return df.withColumn(column, fill(F.col(column).cast("double"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in by])))
-
-
-def chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3, candidates: int = 0, donors: int = 5000) -> DataFrame:
+    at = {f"__{i}": F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for i, c in enumerate(by)}
+    names = list(at)
+    x = df.withColumn(column, F.col(column).cast("double")).withColumns(at)
+    have = _first(x.filter(F.col(column).isNotNull()).select(*names, F.xxhash64(key).alias("h"), F.col(column).alias("v")), names, k)
+    blank = x.filter(F.col(column).isNull())
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"x": [b[names].to_numpy(float).tobytes()], "h": [b["h"].to_numpy(np.int64).tobytes()], "v": [b["v"].to_numpy(float).tobytes()]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for q, xs, h, v in zip(b["q"], b["x"], b["h"], b["v"]):
+                q, xs = (np.frombuffer(y, float).reshape(-1, len(names)) for y in (q, xs))
+                h, v = np.frombuffer(h, np.int64), np.frombuffer(v, float)
+                order = np.lexsort((v, h))
+                xs, h, v = xs[order], h[order], v[order]
+                for i in range(0, len(q), 256):
+                    d = q[i : i + 256, None, :] - xs[None]
+                    ok = ~np.isnan(d)
+                    dist = np.where(ok.any(2), np.nansum(d * d, 2) * len(names) / np.maximum(1, ok.sum(2)), np.inf)
+                    near = np.argsort(dist, 1, kind="stable")[:, :k]
+                    n = np.repeat(np.arange(i, i + len(d)), near.shape[1])
+                    yield pd.DataFrame({c: q[n, j] for j, c in enumerate(names)} | {"d": np.take_along_axis(dist, near, 1).ravel(), "h": h[near.ravel()], "v": v[near.ravel()]})
+
+    places = blank.select(*names).distinct().withColumns({"h": F.lit(0).cast("long"), "v": F.lit(0.0)})
+    blocks = "x binary, h binary, v binary"
+    both = have.mapInPandas(pack, blocks).crossJoin(places.mapInPandas(pack, blocks).select(F.col("x").alias("q")))
+    cells = ", ".join(f"{c} double" for c in names)
+    best = _first(both.mapInPandas(meet, f"{cells}, d double, h long, v double"), names, k, "d")
+    means = best.groupBy(*names).agg(F.avg("v").alias("__fill"))
+    filled = blank.join(means, names, "left").withColumn(column, F.col("__fill"))
+    return x.filter(F.col(column).isNotNull()).select(*df.columns).unionByName(filled.select(*df.columns))
+
+
+def _first(rows: DataFrame, group: list[str], k: int, *before: str) -> DataFrame:
+    """The first ``k`` rows of each group by ``before``, hash and value."""
+    w = Window.partitionBy(*group).orderBy(*before, "h", "v")
+    return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+
+def chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3, candidates: int = 0) -> DataFrame:
     """Chained equations: start from means, then predict each column from the others by least squares, in turn.
 
     Normal equations are one aggregation of fixed size a column and round. With ``candidates`` the last round takes observed values
     (predictive mean matching): of the donors whose predictions are the ``candidates`` nearest, one is chosen by the hash of ``key``.
-    Donors are at most ``donors`` observed rows, those of smallest hashed key.
+    Every observed row is a donor; among equally near ones the smallest hashed key goes first.
     """
     means = df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()
     out = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in columns})
@@ -92,24 +119,53 @@ def chained(df: DataFrame, key: str, columns: list[str], rounds: int = 3, candid
             beta = np.linalg.lstsq(np.array(row[: n * n], float).reshape(n, n), np.array(row[n * n :], float), rcond=None)[0]
             guess = sum((F.lit(float(b)) * x for b, x in zip(beta, xs)), F.lit(0.0))
             if candidates and step == rounds - 1:
-                pool = out.filter(~F.col(f"__m_{c}")).orderBy(F.xxhash64(key), key).limit(donors).select(guess.alias("g"), F.col(c).alias("v")).toPandas()
-                guess = _donor(pool.sort_values(["g", "v"]).to_numpy(float), candidates)(guess, F.pmod(F.xxhash64(key), F.lit(1 << 20)))
+                out = _matched(out.withColumn("__g", guess), key, c, candidates)
+                continue
             out = out.withColumn(c, F.when(F.col(f"__m_{c}"), guess).otherwise(F.col(c)))
     return out.drop(*[f"__m_{c}" for c in columns])
 
 
-def _donor(pool: np.ndarray, candidates: int):
-    """Function of a prediction and a hash: the value of one of the donors with the nearest predictions; ``pool`` is sorted (prediction, value)."""
-    at_hand, have, k = pool[:, 0], pool[:, 1], min(candidates, len(pool))
+def _matched(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
+    """``column`` where ``__m_column`` holds: the value of one of the ``k`` donors whose predictions ``__g`` are nearest.
 
-    @F.pandas_udf("double")
-    def pick(guess: pd.Series, number: pd.Series) -> pd.Series:
-        g = guess.to_numpy(float)
-        lo = np.searchsorted(at_hand, g) - k
-        near = np.clip(lo[:, None] + np.arange(2 * k), 0, len(at_hand) - 1)
-        off = np.abs(at_hand[near] - g[:, None])
-        off[:, 1:][near[:, 1:] == near[:, :-1]] = np.inf  # places beyond either end
-        best = np.take_along_axis(near, np.argsort(off, 1, kind="stable")[:, :k], 1)
-        return pd.Series(have[best[np.arange(len(g)), number.to_numpy(np.int64) % k]])
-
-    return pick
+    Donors are dealt out by ranges of predictions (approximate quantiles set the balance only). A range also gets the ``k`` nearest
+    donors below and above it, so no donor is missed at a border.
+    """
+    df = cut(df.withColumn("__h", F.xxhash64(key)), "predicted")
+    have = cut(_first(df.filter(~F.col(f"__m_{column}")).select(F.col("__g").alias("x"), F.col("__h").alias("h"), F.col(column).alias("v")), ["x"], k), "donors")
+    n = have.count()
+    if not n:
+        return df.drop("__g", "__h")
+    parts = n // RANGE + 1
+    bounds = np.unique(have.approxQuantile("x", [i / parts for i in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
+
+    @F.pandas_udf("int")
+    def part(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(float), side="right").astype(np.int32))
+
+    have = cut(have.withColumn("p", part("x")), "donors")
+    low = _first(have.withColumn("up", F.col("x")), ["p"], k, "up").select("p", "x", "h", "v").toPandas()
+    high = _first(have.withColumn("up", -F.col("x")), ["p"], k, "up").select("p", "x", "h", "v").toPandas()
+
+    def near(group: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        p = (own if len(own) else asked)["p"].iloc[0]
+        below = high[high["p"] < p].assign(up=lambda y: -y["x"]).sort_values(["up", "h", "v"]).head(k)
+        above = low[low["p"] > p].sort_values(["x", "h", "v"]).head(k)
+        own = pd.concat([own, below, above])
+        x, h, v = own["x"].to_numpy(float), own["h"].to_numpy(np.int64), own["v"].to_numpy(float)
+        rise, fall = np.lexsort((v, h, x)), np.lexsort((v, h, -x))
+        q, m = asked["x"].to_numpy(float), len(x)
+        at = np.searchsorted(x[rise], q)
+        step = np.arange(k)
+        up, down = at[:, None] + step, m - at[:, None] + step
+        pick = np.concatenate([rise[np.minimum(up, m - 1)], fall[np.minimum(down, m - 1)]], 1)
+        off = np.where(np.concatenate([up, down], 1) < m, np.abs(x[pick] - q[:, None]), np.inf)
+        best = np.take_along_axis(pick, np.lexsort((v[pick], h[pick], off), axis=-1)[:, : min(k, m)], 1)
+        return pd.DataFrame({"__g": q, "__v": list(v[best])})
+
+    miss = df.filter(f"__m_{column}")
+    asked = miss.select(F.col("__g").alias("x")).distinct().withColumn("p", part("x"))
+    found = have.groupBy("p").cogroup(asked.groupBy("p")).applyInPandas(near, "__g double, __v array<double>")
+    chosen = F.element_at("__v", (F.pmod(F.pmod("__h", F.lit(1 << 20)), F.size("__v")) + 1).cast("int"))
+    filled = miss.join(found, "__g").withColumn(column, chosen).drop("__v")
+    return cut(df.filter(~F.col(f"__m_{column}")).unionByName(filled).drop("__g", "__h"), "matched")

@@ -84,6 +84,17 @@ def test_matched_values_are_observed(spark):
     assert (got["b"].to_numpy() == pdf["b"].to_numpy())[pdf["k"] % 4 > 0].all()
 
 
+def test_every_donor_counts(spark, monkeypatch):
+    n = 12_000  # the nearest donors of a row are the two beside it
+    df = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a")).withColumn("v", F.when(F.col("k") % 3 > 0, F.col("a") * 2))
+    got = impute.nearest(df, "k", "v", ["a"], 2).filter("k % 3 = 0 AND k > 0").select("k", "v").collect()
+    assert len(got) == n // 3 - 1 and all(r.v == 2 * r.k for r in got)
+    monkeypatch.setattr(impute, "RANGE", 1000)
+    pred = df.withColumns({"__m_v": F.col("v").isNull(), "__g": F.col("a")})
+    got = {r.k: r.v for r in impute._matched(pred, "k", "v", 2).collect()}
+    assert len(got) == n and all(abs(v - 2 * k) == 2 for k, v in got.items() if k % 3 == 0 and k)
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(d,) for d in range(10)], "day int")
     got = {(r.fold, r.part): sorted(r.d) for r in models.expanding_folds(df, "day", 4).groupBy("fold", "part").agg(F.collect_list("day").alias("d")).collect()}

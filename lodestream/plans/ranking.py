@@ -103,7 +103,7 @@ def recall_ndcg(spark, d):
 
 @query()
 def als_recommend(spark, d):
-    return recommend.als_recommend(ratings(spark, d), 5, factors=8, iterations=3)
+    return recommend.als_recommend(ratings(spark, d), 5)
 
 
 @query(f"WITH {_R} SELECT c_custkey AS user_id, c_mktsegment, count(rating) AS n, round(avg(rating), 4) AS mean_rating FROM customer LEFT JOIN r ON c_custkey = user_id GROUP BY 1, 2")

@@ -95,6 +95,20 @@ def test_every_donor_counts(spark, monkeypatch):
     assert len(got) == n and all(abs(v - 2 * k) == 2 for k, v in got.items() if k % 3 == 0 and k)
 
 
+def test_als_query_trains_whole_model(monkeypatch):
+    import inspect
+
+    from lodestream import catalog
+    from lodestream.plans import ranking
+
+    whole, used = inspect.signature(ranking.recommend.als_recommend), []
+    monkeypatch.setattr(ranking, "ratings", lambda spark, d: None)
+    monkeypatch.setattr(ranking.recommend, "als_recommend", lambda *a, **b: used.append(whole.bind(*a, **b)))
+    catalog.QUERIES["als_recommend"](None, "")
+    used[0].apply_defaults()
+    assert (used[0].arguments["factors"], used[0].arguments["iterations"]) == (64, 20)
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(d,) for d in range(10)], "day int")
     got = {(r.fold, r.part): sorted(r.d) for r in models.expanding_folds(df, "day", 4).groupBy("fold", "part").agg(F.collect_list("day").alias("d")).collect()}

@@ -6,13 +6,15 @@ can't touch all of them, so every occurrence holds one piece exactly. An Aho-Cor
 the hits in one scan of each document, and Myers' bit-parallel distance verifies the stretch
 around each hit. Documents aren't shuffled.
 
+An item too short for an edit must be found whole, between word borders: inside longer words a short item is no evidence.
+
 The benchmark is sent to the executors in blocks of at most ``BLOCK_CHARS`` characters, each with a scan
 of its own, however large it is; an item longer than that is a block by itself.
 
-Defined cases: null and empty texts match nothing; items shorter than ``SHORTEST`` normalised
-characters (a word or two, no evidence) match nothing; repeated items and repeated documents give a row each;
-an empty benchmark or no documents give no rows; further columns are ignored by matches() and pass
-unchanged through clean().
+Defined cases: null and empty texts match nothing, nor do items without letters and digits; one-word items match every text
+that has the word, so a caller who doesn't want that leaves them out of the benchmark; repeated items and repeated documents give a
+row each (equal items are searched once); ids of documents and items may be null and of any type; an empty benchmark or no
+documents give no rows; texts of any length are scanned whole; further columns are ignored by matches() and pass unchanged through clean().
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHARS_PER_EDIT = 25
-SHORTEST = 20
 BLOCK_CHARS = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
 
@@ -73,7 +75,11 @@ class Matcher:
     def __init__(self, items: list[tuple[object, str]], chars_per_edit: int = CHARS_PER_EDIT):
         import ahocorasick
 
-        self.items = [(i, p, len(p) // chars_per_edit) for i, t in items if len(p := normalise(t)) >= SHORTEST]
+        same: dict[str, list] = {}
+        for i, t in items:
+            if p := normalise(t):
+                same.setdefault(p, []).append(i)
+        self.items = [(ids, p, len(p) // chars_per_edit) for p, ids in same.items()]
         at = defaultdict(list)
         for n, (_, p, k) in enumerate(self.items):
             for off, piece in pieces(p, k):
@@ -96,7 +102,13 @@ class Matcher:
                 starts[n].add(end + 1 - off)
         found = []
         for n in sorted(starts):
-            item, p, k = self.items[n]
+            ids, p, k = self.items[n]
+            if not k:
+                ends = [s + len(p) for s in starts[n] if (not s or t[s - 1] == " ") and t[s + len(p) : s + len(p) + 1] in ("", " ")]
+                found += [(i, 0, 0, min(ends)) for i in ids if ends]
+                if first and found:
+                    break
+                continue
             spans: list[list[int]] = []
             for s in sorted(starts[n]):
                 a, b = max(0, s - k), min(len(t), s + len(p) + k)
@@ -106,7 +118,7 @@ class Matcher:
                     spans.append([a, b])
             d, e = min((d, a + e) for a, b in spans for d, e in [myers(p, t[a:b])])
             if d <= k:
-                found.append((item, d, k, e))
+                found += [(i, d, k, e) for i in ids]
                 if first:
                     break
         return found
@@ -170,7 +182,7 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", item: str
 
         return rows.mapInArrow(run, schema)
 
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+    item_arrow = to_arrow_type(bench.schema[item].dataType)
     scans = [scan(*x) for x in blocks(bench, item, text)]
     return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], schema)
 

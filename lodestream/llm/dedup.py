@@ -13,16 +13,16 @@ holds a third of all rows is a few rows after the scan. These are dealt out by d
 per task, which is emptied between digests when it holds ``MOST``. Texts aren't shuffled.
 
 Defined cases: null counts as empty, empty and blank texts are equal to each other; repeated rows of one id
-form a group as others do (each is kept where the id is kept); null ids come after all others; an empty table gives
-no rows; further columns are ignored.
+form a group as others do (each is kept where the id is kept, unless a row column tells them apart); ids may be of any
+type that has an order; null ids come after all others; an empty table gives no rows; further columns are ignored; texts of any
+length are hashed whole in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,53 +113,67 @@ class CuckooIndex:
             yield from own.items()
 
 
-_BEST = "digest binary, chars long, id long, size long"
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, chars, id, row, size) to one per digest: most chars, then smallest id (null last), then smallest row; sizes added.
 
+    Values stay Arrow's, so an id beside a null is never rounded.
+    """
+    schema = None
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (digest, chars, id, size) to one per digest seen in a row: most chars, then smallest id; sizes added."""
-
-    def out(index: CuckooIndex) -> pd.DataFrame:
-        got = [(d, *r) for d, r in index.items()]
-        frame = pd.DataFrame(got, columns=["digest", "chars", "id", "size"])
-        frame["id"] = frame["id"].astype("Int64")
-        return frame
+    def out(index: CuckooIndex) -> pa.RecordBatch:
+        got = [(d, -less, i, row, size) for d, (less, _, i, row, size) in index.items()]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got), schema)], schema=schema)
 
     index = CuckooIndex()
     for b in batches:
-        ids = b["id"].astype("Int64").tolist() if b["id"].isna().any() else b["id"].astype(np.int64).tolist()
-        for d, chars, i, size in zip(b["digest"], b["chars"].tolist(), ids, b["size"].tolist()):
-            d, i = bytes(d), None if i is pd.NA else i
+        schema = b.schema
+        for d, chars, i, row, size in zip(*(b[k].to_pylist() for k in ("digest", "chars", "id", "row", "size"))):
             old = index.get(d)
             if old is None:
                 if len(index) >= MOST:
                     yield out(index)
                     index = CuckooIndex()
-                index.put(d, (chars, i, size))
+                index.put(d, (-chars, i is None, i, row, size))
             else:
-                ahead = (chars, -i) > (old[0], -old[1]) if i is not None and old[1] is not None else (chars, i is not None) > (old[0], old[1] is not None)
-                index.put(d, (chars, i, old[2] + size) if ahead else (*old[:2], old[2] + size))
+                # an id that is null on both sides is never compared
+                new = (-chars, i is None, i, row)
+                index.put(d, (*(new if _ahead(new, old) else old[:4]), old[4] + size))
     if len(index):
         yield out(index)
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, digest (of the text without white space) and chars (of the whole text) of each row."""
+def _ahead(a: tuple, b: tuple) -> bool:
+    if a[:2] != b[:2]:
+        return a[:2] < b[:2]
+    return a[2:4] < b[2:4] if a[2] is not None else a[3] < b[3]
+
+
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """id, row (0 without such a column), digest (of the text without white space) and chars (of the whole text) of each row."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.sha2(F.translate(t, " \t\n\x0b\x0c\r", "").cast("binary"), 256)).alias("digest"), F.length(t).cast("long").alias("chars"))
+    return docs.select(
+        F.col(doc_id).alias("id"),
+        (F.col(row).cast("long") if row else F.lit(0).cast("long")).alias("row"),
+        F.unhex(F.sha2(F.translate(t, " \t\n\x0b\x0c\r", "").cast("binary"), 256)).alias("digest"),
+        F.length(t).cast("long").alias("chars"),
+    )
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, digest, chars) to one row per digest: digest, keep_id, group_size."""
-    parts = rows.select("digest", "chars", "id", F.lit(1).cast("long").alias("size")).mapInPandas(_merge, _BEST)
-    merged = parts.repartition("digest").sortWithinPartitions("digest").mapInPandas(_merge, _BEST)
-    return merged.select("digest", F.col("id").alias("keep_id"), F.col("size").alias("group_size"))
+    """``rows`` (id, row, digest, chars) to one row per digest: digest, keep_id, keep_row, group_size."""
+    best = f"digest binary, chars long, id {rows.schema['id'].dataType.simpleString()}, row long, size long"
+    parts = rows.select("digest", "chars", "id", "row", F.lit(1).cast("long").alias("size")).mapInArrow(_merge, best)
+    merged = parts.repartition("digest").sortWithinPartitions("digest").mapInArrow(_merge, best)
+    return merged.select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("size").alias("group_size"))
+
 
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = cut(digests(docs, doc_id, text), "digests")
+    ``row`` names a column of distinct whole numbers; with it exactly one row of each group is kept, and the column is returned.
+    """
+    rows = cut(digests(docs, doc_id, text, row), "digests")
     found = cut(groups(rows), "groups")
-    return join_groups(rows, found, "digest", "group_size").select(
-        F.col("id").alias(doc_id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))
+    out = join_groups(rows, found, "digest", "group_size")
+    return out.select(F.col("id").alias(doc_id), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *([F.col("row").alias(row)] if row else []))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width
+from .common import shuffle_width, work_dir
 
 FRAME_IDS = 1 << 16
 END = 2
@@ -288,5 +288,5 @@ def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
 
 def write_and_read(docs: DataFrame, **options) -> DataFrame:
     """Write ``docs`` to a new folder in the shared folder and return what read() finds there."""
-    folder = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    folder = f"{work_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
     return read(docs.sparkSession, write(docs, folder, **options))

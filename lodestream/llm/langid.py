@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles.
 
 A profile is the list of a language's most frequent character n-grams (one to three
-characters; words are lower-cased runs of letters, padded with blanks), most frequent first. A
+characters; words are lower-cased runs of letters (category L) and their marks (M), padded with blanks), most frequent first. A
 document's own list is compared with each profile: an n-gram costs the difference of its two
 places, one that the profile lacks costs the profile's length. The language with the smallest
 sum wins (ties: the first in alphabetical order).
@@ -9,16 +9,17 @@ sum wins (ties: the first in alphabetical order).
 N-gram counts of all labelled training rows are summed by Spark; each task sends
 only its distinct n-grams, in groups of at most ``FLUSH``.
 
-Defined cases: null text, text without letters and an untrained model give ``und`` with score 0;
+Defined cases: null text, text without letters (digits and number signs such as ``½`` are none) and an untrained model give ``und`` with score 0;
 rows without a language don't train; repeated rows count as often as they occur; long texts are
-counted in blocks of ``BLOCK`` characters; further columns are ignored by predict() and
-pass unchanged through accept().
+counted in blocks of ``BLOCK`` characters; an empty table trains nothing and gives no rows; further columns are ignored by
+predict() and pass unchanged through accept(), which lets everything through when no profile could be learned.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,25 @@ UNDETERMINED = "und"
 PLACES = 400
 BLOCK = 1 << 20
 FLUSH = 400_000
-_OTHER = re.compile(r"[\W\d_]+")
+_ASCII = re.compile(r"[^a-z]+")
+
+
+@cache
+def _patterns():
+    import regex
+
+    return regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
+
+
+def words(text: str | None) -> str:
+    """The lower-cased words of a text with one blank between; empty where it has no letter."""
+    if not text:
+        return ""
+    if text.isascii():
+        return _ASCII.sub(" ", text.lower()).strip()
+    other, letter = _patterns()
+    got = other.sub(" ", text.lower()).strip()
+    return got if letter.search(got) else ""
 
 
 def _merge(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +61,7 @@ def _merge(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams, packed as 21 bits a character, in ascending order, and their counts."""
-    letters = _OTHER.sub(" ", text.lower()).strip() if text else ""
+    letters = words(text)
     if not letters:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -149,13 +168,19 @@ def predict(rows: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def accept(rows: DataFrame, profiles: Profiles, languages: set[str] | None = None) -> DataFrame:
-    """The rows whose language can be determined and is one of ``languages`` (any where None), columns unchanged."""
+def accept(rows: DataFrame, profiles: Profiles, languages: set[str] | None = None, most: float = 1.0) -> DataFrame:
+    """The rows whose language can be determined and is one of ``languages`` (any where None), columns unchanged.
+
+    ``most`` also rejects texts farther than that share of the largest distance from every profile. Without any profile all rows pass.
+    """
+    if not profiles.langs:
+        return rows
     held = rows.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [held.value.predict(x)[0] for x in b["text"].to_pylist()]
-            yield b.filter(pa.array([x != UNDETERMINED and (languages is None or x in languages) for x in got], pa.bool_()))
+            got = [held.value.distances(x) for x in b["text"].to_pylist()]
+            fits = [d is not None and d.min() <= most and (languages is None or held.value.langs[int(np.argmin(d))] in languages) for d in got]
+            yield b.filter(pa.array(fits, pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

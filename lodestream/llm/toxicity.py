@@ -11,7 +11,8 @@ id; only these cross to the driver, as distinct subwords with counts. The bound
 whole. The sample's share of toxic documents isn't the corpus's: a last step shifts the score so
 that 0.5 separates best when the sample is weighted back to the labelled shares.
 
-Defined cases: null and empty texts have no subwords and get the model's score without any; documents without label or
+Defined cases: null and empty texts have no subwords and get the model's score without any; long texts are hashed whole, ``BLOCK`` characters at a
+time; of rows that repeat a sampled id the largest text trains; documents without label or
 with a null label don't train, of repeated labels of one id the larger counts; no labelled documents or only
 one class give the label's share as every score (0 without any); repeated rows are scored each; further columns are ignored.
 """
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 SAMPLE = (4500, 2000)  # of label 0 and label 1
 DIM, EPOCHS, BATCH, RATE, GAIN = 8, 12, 32, 2.0, 100.0
-LEAST = 8  # documents of the sample that a subword must occur in to be trained
+STEPS = 600  # at least so many batches, however few the documents
+LEAST = 2  # documents of the sample that a subword must occur in to be trained
 BLOCK = 1 << 18
 _WHITE = re.compile(r"\s+")
 
@@ -74,16 +76,16 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, buckets: int = BUCKETS, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, buckets: int = BUCKETS, least: int = LEAST, seed: int = 7) -> Model:
     """Train on ``bags`` (distinct subwords, counts) with 0/1 ``labels``; ``share``: share of label 1 that the threshold counts with."""
     rng = np.random.default_rng(seed)
     seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=buckets) if bags else np.zeros(buckets, int)
-    used = np.flatnonzero(seen >= LEAST)
+    used = np.flatnonzero(seen >= least)
     # every fifth document of either class sets the threshold and isn't trained on
     turn = np.where(labels == 1, np.cumsum(labels), np.cumsum(1 - labels))
     check = turn % 5 == 0
     whole, labels_all, bags_all = [max(1, int(b[1].sum())) for b in bags], labels, bags
-    bags = [(b[0][k], b[1][k]) for b in bags for k in [seen[b[0]] >= LEAST]]
+    bags = [(b[0][k], b[1][k]) for b in bags for k in [seen[b[0]] >= least]]
     e = (rng.standard_normal((len(used), DIM)) * 0.01).astype(np.float32)
     w, b = (rng.standard_normal((DIM, 2)) * 0.3).astype(np.float32), np.zeros(2, np.float32)
     order = rng.permutation(np.flatnonzero(~check))
@@ -97,8 +99,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
         batches.append((np.searchsorted(used, rows), inv.astype(np.int32), val, np.repeat(np.arange(len(own)), size).astype(np.int32), labels[own]))
     weight = np.array([1.0, len(labels) / max(1, labels.sum()) - 1.0])
     weight /= (weight[0] * (labels == 0).sum() + weight[1] * labels.sum()) / len(labels)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(batches))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
             rows, inv, val, doc, y = batches[k]
             m = len(y)
@@ -140,7 +143,7 @@ def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     return np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: tuple[int, int] = SAMPLE, buckets: int = BUCKETS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: tuple[int, int] = SAMPLE, buckets: int = BUCKETS, least: int = LEAST) -> Model:
     """Train on ``docs`` (doc_id, text) by ``labels`` (doc_id, label 0/1), at most ``sample`` documents of either class."""
     import zstandard
 
@@ -158,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             bags = [bag(t, buckets) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "ids": [z.compress(np.diff(i, prepend=0).astype("<u4").tobytes()) for i, _ in bags], "n": [z.compress(n.astype("<u4").tobytes()) for _, n in bags]})
 
-    got = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(chosen, "__id")
+    got = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(chosen, "__id").groupBy("__id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
     rows = got.select(F.col("__id").cast("string").alias("id"), "y", "text").mapInPandas(run, "id string, y int, ids binary, n binary").toLocalIterator()
     u = zstandard.ZstdDecompressor()
     read = [(r.id, r.y, np.cumsum(np.frombuffer(u.decompress(r.ids), "<u4"), dtype=np.uint32), np.frombuffer(u.decompress(r.n), "<u4")) for r in rows]
@@ -166,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     y = np.array([r[1] for r in read])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1, np.float32), 500.0 if len(y) and y[0] else -500.0)
-    return fit([r[2:] for r in read], y, share, buckets)
+    return fit([r[2:] for r in read], y, share, buckets, least)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -74,6 +74,38 @@ def test_language(spark, docs, none):
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
     assert langid.accept(docs, p).count() == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t, *_ in ROWS)
     assert langid.train(none).predict("abc") == ("und", 0.0) and langid.accept(none, p).count() == 0
+    assert langid.accept(docs, langid.train(none)).count() == len(ROWS)
+
+
+def test_letters():
+    p = langid.Profiles({"en": [ord("a"), ord("é")]})
+    for text in ("½", "²", "Ⅷ", "１２", "_-", "\u0301", "😀", " \x1c "):
+        assert p.predict(text) == ("und", 0.0), text
+    assert all(p.predict(x)[0] == "en" for x in ("a", "É", "ª", "½a", "語", "e\u0301"))
+    assert langid.words("De\u0301ja\u0300-vu ½ x") == "de\u0301ja\u0300 vu x" and langid.words("A1b_c") == "a b c"
+
+
+def test_language_by_brute_force(spark):
+    r, data = random.Random(2), []
+    for lang, abc in (("x", "abcde "), ("y", "cdefgé ")):
+        data += [("".join(r.choice(abc) for _ in range(80)), lang) for _ in range(20)]
+    p = langid.train(spark.createDataFrame(data, "text string, lang string"), 50)
+
+    def ranked(texts):
+        n = Counter()
+        for t in texts:
+            s = " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+            # a blank is no n-gram by itself, and none has a blank in its middle
+            n.update(g for k in (1, 2, 3) for i in range(len(s) - k + 1) if (g := s[i : i + k]) != " " and g[1:-1] != " ")
+        order = sorted(n, key=lambda g: (-n[g], sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))))
+        return order[:50]
+
+    lists = {k: ranked([t for t, y in data if y == k]) for k in "xy"}
+    for t, _ in data[:4] + data[-4:] + [("dec ad", ""), ("g", "")]:
+        own = ranked([t])
+        d = {k: sum(abs(v.index(g) - i) if g in v else 50 for i, g in enumerate(own)) / (50 * len(own)) for k, v in lists.items()}
+        best = min(sorted(d), key=d.get)
+        assert p.predict(t) == (best, pytest.approx((max(d.values()) - d[best]) / max(d.values()))), t
 
 
 def test_ngrams_in_blocks(monkeypatch):
@@ -118,13 +150,25 @@ def test_decontamination(spark, docs, none, monkeypatch):
     bench = spark.createDataFrame([(1, ITEM), (2, ITEM), (3, "the"), (4, None), (5, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.matches(docs, bench).collect()}
     hits = [i for i, t, *_ in ROWS if t and t.startswith("so ")]
-    assert got == {(hits[0], 1): 0, (hits[0], 2): 0, (hits[1], 1): 1, (hits[1], 2): 1}
-    assert decontam.clean(docs, bench).count() == len(ROWS) - 2
+    the = {(i, 3) for i, t, *_ in ROWS if "the" in re.split(r"[\W_]+", (t or "").lower())}
+    assert got == {(hits[0], 1): 0, (hits[0], 2): 0, (hits[1], 1): 1, (hits[1], 2): 1} | {x: 0 for x in the}
+    assert decontam.clean(docs, bench.filter("item_id <> 3")).count() == len(ROWS) - 2
+    n = decontam.matches(docs, bench).count()
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
-    assert decontam.matches(docs, bench).count() == 4
+    assert decontam.matches(docs, bench).count() == n
     assert decontam.matches(none, bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_odd_ids(spark):
+    docs = spark.createDataFrame([("a", "A cat, sat"), (None, "concatenate"), ("b", "x" * 300 + " cat " + "y" * 300), ("c", None)], "doc_id string, text string")
+    for kind in ("smallint", "decimal(5,1)", "string", "date"):
+        value = "date'2020-01-01'" if kind == "date" else f"cast(1 as {kind})"
+        bench = spark.sql(f"select {value} as item_id, 'Cat' as text union all select null, 'cat' union all select {value}, ' -- '")
+        got = decontam.matches(docs, bench)
+        assert got.schema["item_id"].dataType.simpleString() == kind
+        assert sorted((r.doc_id, r.item_id is None, r.distance) for r in got.collect()) == [("a", False, 0), ("a", True, 0), ("b", False, 0), ("b", True, 0)]
+
+
 def test_no_edited_passage_is_lost():
     r = random.Random(9)
     item = decontam.normalise(ITEM * 3)
@@ -316,24 +360,95 @@ def test_exact_dedup(docs, none, monkeypatch):
     assert rows(dedup.exact_duplicates(docs)) == want and dedup.exact_duplicates(none).count() == 0
 
 
+def test_exact_dedup_keeps_ids(spark):
+    big = 2**60
+    data = [(big + 3, "a b"), (big + 1, "ab "), (None, "ab"), (None, "x"), (None, "x "), (big + 5, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "doc_id long, text string, row long").coalesce(1)
+    got = [(r.doc_id, r.keep_id, r.kept) for r in dedup.exact_duplicates(df).orderBy("text_sha256", "doc_id").collect()]
+    assert sorted(got, key=repr) == sorted([(big + 3, big + 1, False), (big + 1, big + 1, True), (None, big + 1, False), (None, None, True), (None, None, True), (big + 5, big + 5, True)], key=repr)
+    assert {r.row for r in dedup.exact_duplicates(df, row="row").filter("kept").collect()} == {1, 4, 5}
+    text = dedup.exact_duplicates(df.select(F.col("doc_id").cast("string"), "text")).filter("kept").select("doc_id")
+    assert sorted((r.doc_id for r in text.collect()), key=repr) == sorted([str(big + 1), None, None, str(big + 5)], key=repr)
+
+
+def test_long_texts_in_small_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    long = " ".join(r.choice(WORDS) + str(r.randint(0, 9)) for _ in range(2000))
+    df = spark.createDataFrame([(1, long), (2, None), (3, "a b")], "doc_id long, text string")
+    bag, fp, bands, ids = toxicity.bag(long), simhash.fingerprint(long), similar.bands(similar.shingles(long)), bpe.codec().encode([long])[0].tolist()
+    files = rows(idfile.write_and_read(df))
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    monkeypatch.setattr(simhash, "_PART", 7)
+    monkeypatch.setattr(similar, "_PART", 7)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(idfile, "BLOCK_CHARS", 50)
+    assert all((a == b).all() for a, b in zip(bag, toxicity.bag(long))) and fp == simhash.fingerprint(long)
+    assert (bands == similar.bands(similar.shingles(long))).all() and ids == bpe.codec().encode([long])[0].tolist()
+    assert rows(idfile.write_and_read(df)) == files
+
+
+def test_nothing_is_left_behind(spark, docs):
+    from pathlib import Path
+
+    from lodestream.session import scratch, shared_dir
+
+    def left():
+        return {p.name for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()}
+
+    Path(shared_dir(spark).removeprefix("file://")).mkdir(exist_ok=True)
+    before = left()
+    with scratch(spark):
+        n = [f(docs).count() for f in (dedup.exact_duplicates, simhash.near_duplicates, similar.near_duplicates, idfile.write_and_read)]
+        assert n == [len(ROWS)] * 4 and left() > before
+    assert left() == before
+
+
+def _alike(a, b):
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (re.findall(rb"[^\x20\x09-\x0D]+", x.encode().lower()) for x in (a, b))]
+    return len(own[0] & own[1]) * 5 >= 4 * len(own[0] | own[1])
+
+
+def _piped(docs):
+    """(doc_id, text) of the documents that the first four stages keep, by brute force."""
+    left = [r for r in docs if re.search(r"[^\W\d_]", r[1] or "")]
+    groups = {}
+    for n, r in enumerate(left):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1]), []).append((-len(r[1]), r[0] is None, r[0] or 0, n))
+    left = [left[min(g)[3]] for g in groups.values()]
+    up = list(range(len(left)))
+    for _ in left:
+        for i, a in enumerate(left):
+            for j, b in enumerate(left[:i]):
+                if up[i] != up[j] and _alike(a[1], b[1]):
+                    up[i] = up[j] = min(up[i], up[j])
+    first = {c: min((left[i][0] is None, left[i][0] or 0, i) for i, x in enumerate(up) if x == c)[2] for c in up}
+    return sorted(((left[i][0], left[i][1]) for i in first.values() if not left[i][1].startswith("so ")), key=repr)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s, *_ in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    # repeated rows of one id, rows without id, and a further column whose name the stages use
+    data = [(i, t, lang, s, len(t or ""), "x") for i, t, lang, s, *_ in ROWS + ROWS[3:6] + [ROWS[-1]] * 2 + [(7, "same text", "en", "s")] * 2]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, ROW string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     df = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
         assert df.columns == docs.columns, name
-    left = [r for r in ROWS if re.search(r"[^\W\d_]", r[1] or "")]
-    groups = {}
-    for r in left:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1]), []).append(r)
-    left = [min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values()]
-    ids = {r[0] for r in left}
-    left = [r for r in left if r[0] in ids]
-    comp = _components([_fingerprint(r[1]) for r in left])
-    keep = {min((left[i][0] for i, x in enumerate(comp) if x == c and left[i][0] is not None), default=None) for c in comp}
-    want = {r[0] for r in left if r[0] in keep and not r[1].startswith("so ")}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+    want = _piped(data)
+    assert rows(df.select("doc_id", "text")) == want
+    assert sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr) == sorted((i for i, _ in want), key=repr)
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_pipeline_shuffles_where_many_rows_go(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    few = rows(corpus_pipeline.exact(spark, docs, ""))
+    monkeypatch.setattr(corpus_pipeline, "FEW", 0)
+    assert rows(corpus_pipeline.exact(spark, docs, "")) == few

@@ -1,61 +1,74 @@
-"""Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
+"""Language-model scores from log-bilinear models trained by noise-contrastive estimation.
 
-Tokens: A-Z lower-cased, words of ``[^\\x20\\x09-\\x0D]+``, then one end token. The ``CLASSES`` - 2 most
-frequent training words, the end and "any other word" are the model's classes. A class w after the classes c1 c2 has the
-logit (C1*q[c1] + C2*q[c2]) . r[w] + b[w]; batched matrix products over all contexts give its
-normaliser, so probabilities are normalised. Another word has the class's probability times its share of
-the smoothed counts of all other words. The score of a text is the sum of log10 over its tokens.
+Tokens: A-Z lower-cased, words of ``[^\\x20\\x09-\\x0D]+``, then one end token. The vocabulary is every training word with a count of
+at least ``least``, as long as these are at most ``vocabulary`` (else the most frequent ones, cut between two counts); it grows
+with the corpus up to that bound, which keeps the model small enough to broadcast. Classes are the end, the vocabulary and
+"any other word".
 
-Training data are the counts of (c1, c2, w) over all training tokens: a table of fixed size, ``CLASSES`` cubed cells at most, however
-large the corpus. Noise-contrastive estimation runs on these counts with the noise
-taken in full expectation, in numpy on the driver.
+For each of the two places before a token a log-bilinear model gives class w after class c the logit
+q[c] . r[w] + b[w]. Batched matrix products of all q with all r give every context's normaliser, so each model is a distribution
+over all classes; the score mixes both evenly. Another word has the class's probability times its share of the smoothed counts of
+all other words. The score of a text is the sum of log10 over its tokens.
 
-Word counts are exact and never collected. Each task cuts its documents into chunks of about ``CHUNK`` tokens and numbers
-a chunk's distinct words; these (as 64-bit XXH64 values), with their counts, are dealt out by
-value, added up per shard, and the sums sent back to the chunks. So a word crosses the network once a chunk,
-not once a token, and a frequent word is one row a chunk.
+Training reads every training token once, in ``ROUNDS`` rounds over as many parts of the batches. In a round each task starts
+from the model of the round before and descends, in numpy, on its own tokens against noise words drawn from the smoothed unigram;
+the tasks' rows are averaged by how often each was touched. So what is counted and trained on grows with the input, and to the driver
+comes one model a round, of bounded size.
+
+Word counts are exact, by the word itself (words of over 64 bytes by their BLAKE2b), and never collected. Each task cuts its
+documents into chunks of about ``CHUNK`` tokens and numbers a chunk's distinct words; one row a chunk and distinct word is dealt
+out by word, so a word crosses the network once a chunk, not once a token, and no word has more rows than there are chunks.
 
 Defined cases: null and empty texts are one end token; without any training token every count is 0 and the model
-uniform; repeated rows count and are scored each; further columns are ignored.
+uniform; repeated rows count and are scored each; ids may be of any type, null or empty; texts of any length are read whole (a text
+longer than a chunk is a chunk of its own); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width
+from .common import cut, scratch, work_dir
 
-CLASSES = 256
+VOCABULARY, LEAST = 32_768, 5
 CHUNK = 1_000_000
-DIM, STEPS, RATE, NOISE = 16, 60, 0.08, 8
-GROUPS = 64
-_END, _OTHER = 0, CLASSES - 1
+DIM, RATE, NOISE, BATCH, ROUNDS = 16, 0.15, 64, 2048, 2
+SHARE = 8_000_000  # tokens a training task
+BLOCK = 1024
+PLACES = (1, 2)
+_LONG = 64
+_END = 0
+_STEPS = 64  # count classes an octave, for the cut
 
 
 def _pack(x: np.ndarray) -> bytes:
+    """Compressed, byte planes apart: of small numbers the high ones are empty."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
 
 
 def _open(b: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
-def end_hash() -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(b"", 42)
+def name(word: bytes) -> bytes:
+    """The word, or a digest no word can be equal to (it begins with a blank) where the word is long."""
+    return word if len(word) <= _LONG else b" " + hashlib.blake2b(word, digest_size=32).digest()
 
 
 class _Chunk:
@@ -64,6 +77,7 @@ class _Chunk:
     def __init__(self):
         self.words: defaultdict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
+        self.words[b""]  # the end is number 0
         self.ids, self.learn, self.sizes, self.codes, self.tokens = [], [], [], [], 0
 
     def add(self, doc_id: str | None, learn: bool, text: str | None) -> None:
@@ -75,230 +89,271 @@ class _Chunk:
         self.sizes.append(len(own))
         self.tokens += len(own)
 
-    def rows(self, name: str, shards: int) -> pd.DataFrame:
-        import xxhash
+    def rows(self, chunk: int) -> Iterator[pd.DataFrame]:
+        codes, learn, sizes = np.concatenate(self.codes), np.array(self.learn, bool), np.array(self.sizes, "<i8")
+        n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(self.words))
+        yield pd.DataFrame({"chunk": chunk, "place": [-1], "word": [None], "n": [0], "ids": [self.ids], "sizes": [_pack(sizes)], "learn": [_pack(learn)], "codes": [_pack(codes.astype("<i4"))]})
+        yield pd.DataFrame({"chunk": chunk, "place": np.arange(len(n)), "word": list(map(name, self.words)), "n": n, "ids": None, "sizes": None, "learn": None, "codes": None})
 
-        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
-        order = np.argsort(h)
-        place = np.empty(len(h), np.int32)
-        place[order] = np.arange(len(h), dtype=np.int32)
-        h = h[order]
-        codes = place[np.concatenate(self.codes)]
-        learn = np.array(self.learn, bool)
-        n = np.bincount(codes[np.repeat(learn, self.sizes)], minlength=len(h)).astype("<u4")
-        out = [(0, name, -1, "\n".join("" if i is None else i for i in self.ids), _pack(np.array(self.sizes, "<i8")), _pack(codes.astype("<i4")), _pack(learn))]
-        shard = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b > a:
-                out.append((1, name, s, None, _pack(h[a:b]), _pack(n[a:b]), None))
-        return pd.DataFrame(out, columns=["kind", "chunk", "shard", "ids", "a", "b", "c"])
 
+_CHUNKS = "chunk long, place int, word binary, n long, ids array<string>, sizes binary, learn binary, codes binary"
 
-_ROWS = "kind int, chunk string, shard int, ids string, a binary, b binary, c binary"
 
-
-def chunked(docs: DataFrame, learn: Column, shards: int, doc_id: str, text: str) -> DataFrame:
-    """Chunks' documents (kind 0) and distinct words by shard (kind 1)."""
+def chunked(docs: DataFrame, learn: Column, doc_id: str, text: str) -> DataFrame:
+    """Per chunk its documents (place -1) and one row a distinct word, with its number and its count among training tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n, chunk = TaskContext.get().partitionId(), 0, _Chunk()
+        at, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         gc.disable()  # millions of small objects without cycles
         try:
             for b in batches:
                 for i, y, t in zip(b["id"], b["learn"], b["text"]):
                     chunk.add(i, y, t)
                     if chunk.tokens >= CHUNK:
-                        yield chunk.rows(f"{part}-{n}", shards)
-                        n, chunk = n + 1, _Chunk()
+                        yield from chunk.rows(at)
+                        at, chunk = at + 1, _Chunk()
             if chunk.ids:
-                yield chunk.rows(f"{part}-{n}", shards)
+                yield from chunk.rows(at)
         finally:
             gc.enable()
 
-    return docs.select(F.col(doc_id).cast("string").alias("id"), learn.alias("learn"), F.col(text).alias("text")).mapInPandas(run, _ROWS)
-
-
-def totals(part: pd.DataFrame) -> pd.DataFrame:
-    """A shard's words of all chunks to counts for each chunk (kind 2) and the shard's own sums (kind 3)."""
-    h = [_open(x, "<u8") for x in part["a"]]
-    uniq, inv = np.unique(np.concatenate(h), return_inverse=True)
-    c = np.bincount(inv, np.concatenate([_open(x, "<u4") for x in part["b"]]), len(uniq)).astype("<i8")
-    top = np.lexsort((uniq, -c))[: CLASSES + 1]
-    top = np.sort(top[c[top] > 0])
-    flag = np.zeros(len(uniq), bool)
-    flag[top] = True
-    shard, out, at = int(part["shard"].iloc[0]), [], 0
-    for name, own in zip(part["chunk"], h):
-        i = inv[at : at + len(own)]
-        at += len(own)
-        p = np.flatnonzero(flag[i])
-        out.append((2, name, shard, None, _pack(c[i]), _pack(p.astype("<i8")), _pack(own[p])))
-    out.append((3, "", shard, f"{int(c.sum())} {int((c > 0).sum())}", _pack(uniq[top]), _pack(c[top]), None))
-    return pd.DataFrame(out, columns=["kind", "chunk", "shard", "ids", "a", "b", "c"])
-
-
-class Classes:
-    """The model's classes and the sums that smoothing needs."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int):
-        end = np.uint64(end_hash())
-        self.n, self.v = n, v
-        self.end_count = int(counts[hashes == end].sum())
-        words, counts = hashes[hashes != end], counts[hashes != end]
-        best = np.lexsort((words, -counts))[: CLASSES - 2]
-        best = best[np.argsort(words[best])]
-        self.words = np.append(words[best], end)
-        self.number = np.append(np.arange(1, len(best) + 1), _END).astype(np.uint8)
-        order = np.argsort(self.words)
-        self.words, self.number = self.words[order], self.number[order]
-        taken = int((counts[best] + 1).sum()) + (self.end_count + 1 if self.end_count else 0)
-        self.rest = n + v + 1 - taken  # smoothed counts of all other words, the unseen one included
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.number[at], _OTHER).astype(np.uint8)
-
-
-def _number(classes: Classes, key: tuple, docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's documents with counts: sums and classes per document (kind 4), class triples by group (kind 5)."""
+    return docs.select(F.col(doc_id).cast("string").alias("id"), learn.alias("learn"), F.col(text).alias("text")).mapInPandas(run, _CHUNKS)
+
+
+def vocabulary_of(counted: DataFrame, most: int, least: int) -> DataFrame:
+    """word, c and number (1 is the most frequent) of the vocabulary: at most ``most`` - 2 words."""
+    words = counted.filter(F.col("first") & (F.length("word") > 0) & (F.col("c") >= least)).select("word", "c", F.floor(F.log2("c") * _STEPS).alias("size"))
+    taken, floor = 0, 1 << 30
+    for r in sorted(words.groupBy("size").count().collect(), reverse=True):
+        if taken + r["count"] > most - 2:
+            break
+        taken, floor = taken + r["count"], r["size"]
+    return words.filter(F.col("size") >= floor).select("word", "c", F.row_number().over(Window.orderBy(F.desc("c"), "word")).alias("number"))
+
+
+def contexts(w: np.ndarray, starts: np.ndarray, place: int) -> np.ndarray:
+    """The class ``place`` tokens before each token; before a document stands the end."""
+    out = np.full(len(w), _END, w.dtype)
+    out[place:] = w[:-place]
+    for k in range(place):
+        at = starts + k
+        out[at[at < np.append(starts[1:], len(w))]] = _END
+    return out
+
+
+def _numbered(classes: int, n: int, v: int, rest: int, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's documents as classes, with the parts of the scores that need counts."""
     if not len(docs):
-        return pd.DataFrame({"kind": [], "chunk": [], "shard": [], "ids": [], "a": [], "b": [], "c": []})
-    back = back.sort_values("shard")
-    c = np.concatenate([_open(x, "<i8") for x in back["a"]])
-    number, at = np.full(len(c), _OTHER, np.uint8), 0
-    for a, p, h in zip(back["a"], back["b"], back["c"]):
-        p = _open(p, "<i8")
-        number[at + p] = classes.of(_open(h, "<u8"))
-        at += len(_open(a, "<i8"))
+        return pd.DataFrame({k: [] for k in ("ids", "sizes", "learn", "w", "sums")})
     row = docs.iloc[0]
-    sizes, codes, learn = _open(row["a"], "<i8"), _open(row["b"], "<i4"), _open(row["c"], "?")
-    ends = codes[np.cumsum(sizes) - 1][0]
-    number[ends] = _END
+    sizes, learn, codes = _open(row["sizes"], "<i8"), row["learn"], _open(row["codes"], "<i4")
+    place = words["place"].to_numpy()
+    c, number = np.zeros(len(place), np.int64), np.zeros(len(place), "<u2")
+    c[place], number[place] = words["c"].to_numpy(), words["number"].to_numpy()
+    number[0] = _END
     starts = np.cumsum(sizes) - sizes
     log = np.log10(c + 1.0)
     w = number[codes]
-    base = np.add.reduceat(log[codes], starts) - sizes * np.log10(classes.n + classes.v + 1.0)
-    tail = np.add.reduceat(np.where(w == _OTHER, log[codes] - np.log10(max(1, classes.rest)), 0.0), starts)
+    base = np.add.reduceat(log[codes], starts) - sizes * np.log10(n + v + 1.0)
+    tail = np.add.reduceat(np.where(w == classes - 1, log[codes] - np.log10(max(1, rest)), 0.0), starts)
     known = np.add.reduceat((c > 0)[codes], starts, dtype=np.int64)
-    out = [(4, row["chunk"], -1, row["ids"], _pack(sizes), _pack(np.stack([base, tail, known.astype(float)])), _pack(w))]
-    before = contexts(w, starts)
-    use = np.repeat(learn, sizes)
-    triples, n = np.unique(before[use].astype(np.int64) * CLASSES + w[use], return_counts=True)
-    group = triples // CLASSES % GROUPS
-    for g in np.unique(group):
-        own = group == g
-        out.append((5, row["chunk"], int(g), None, _pack(triples[own]), _pack(n[own].astype("<i8")), None))
-    return pd.DataFrame(out, columns=["kind", "chunk", "shard", "ids", "a", "b", "c"])
-
-
-def contexts(w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The two classes before each token, as one number; before a document stands the end."""
-    c1, c2 = np.zeros(len(w), np.int32), np.zeros(len(w), np.int32)
-    c1[1:], c2[2:] = w[:-1], w[:-2]
-    c1[starts] = c2[starts] = _END
-    second = starts[starts + 1 < len(w)] + 1
-    c2[second] = _END
-    return c2 * CLASSES + c1
-
-
-def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Triple counts of whole groups, added up in tables of fixed size."""
-    held: dict[int, np.ndarray] = {}
-    for b in batches:
-        for g, t, n in zip(b["shard"], b["a"], b["b"]):
-            x = held.setdefault(int(g), np.zeros(CLASSES**3 // GROUPS, np.int64))
-            t = _open(t, "<i8")
-            x[t // CLASSES // GROUPS * CLASSES + t % CLASSES] += _open(n, "<i8")
-    for g, x in held.items():
-        yield pd.DataFrame({"shard": [g], "a": [_pack(x)]})
-
-
-class LogBilinear:
-    """Tables of a trained model: logit = one[c1, w] + two[c2, w] + bias[w]; z[c2, c1] its normaliser (natural logarithms)."""
-
-    def __init__(self, counts: np.ndarray, seed: int = 11):
-        """``counts``: contexts (c2 * CLASSES + c1) by classes."""
-        rng = np.random.default_rng(seed)
-        uni = counts.sum(0).astype(np.float64)
-        n = uni.sum()
-        q = ((uni + 1) / (n + CLASSES)).astype(np.float32)
-        ctx = np.flatnonzero(counts.sum(1))
-        c2, c1 = ctx // CLASSES, ctx % CLASSES
-        p = {"q": rng.standard_normal((CLASSES, DIM)) * 0.1, "r": rng.standard_normal((CLASSES, DIM)) * 0.1, "k1": np.ones(DIM), "k2": np.ones(DIM) * 0.5, "b": np.log(q)}
-        p = {k: v.astype(np.float32) * np.float32(n > 0) for k, v in p.items()}  # untrained: uniform
-        m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-        noise = np.log(NOISE * q)
-        for step in range(1, STEPS + 1 if n else 1):
-            g = {k: np.zeros_like(x) for k, x in p.items()}
-            for at in range(0, len(ctx), 8192):
-                i1, i2 = c1[at : at + 8192], c2[at : at + 8192]
-                seen = counts[ctx[at : at + 8192]].astype(np.float32) / np.float32(n)
-                h = p["k1"] * p["q"][i1] + p["k2"] * p["q"][i2]
-                s = 1 / (1 + np.exp(noise - (h @ p["r"].T + p["b"])))  # probability that a word is no noise
-                d = s * (seen + (NOISE * q) * seen.sum(1, keepdims=True)) - seen
-                g["b"] += d.sum(0)
-                g["r"] += d.T @ h
-                gh = d @ p["r"]
-                g["k1"] += (gh * p["q"][i1]).sum(0)
-                g["k2"] += (gh * p["q"][i2]).sum(0)
-                np.add.at(g["q"], i1, gh * p["k1"])
-                np.add.at(g["q"], i2, gh * p["k2"])
-            rate = RATE * (1 - (step - 1) / STEPS)
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
-        self.one = (p["k1"] * p["q"]) @ p["r"].T
-        self.two = (p["k2"] * p["q"]) @ p["r"].T
-        self.bias = p["b"]
-        z = []
-        for k in range(CLASSES):
-            x = self.two[k] + self.one + self.bias
-            top = x.max(1)
-            z.append(top + np.log(np.exp(x - top[:, None]).sum(1)))
-        self.z = np.stack(z).astype(np.float32)
+    return pd.DataFrame({"ids": [row["ids"]], "sizes": [row["sizes"]], "learn": [learn], "w": [_pack(w)], "sums": [_pack(np.stack([base, tail, known.astype(float)]).reshape(-1))]})
+
 
-    def log10(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
-        c2, c1 = before // CLASSES, before % CLASSES
-        return (self.one[c1, w] + self.two[c2, w] + self.bias[w] - self.z[c2, c1]) / np.float32(np.log(10))
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
-def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on the rows where ``learn`` is true and score all.
+def gradient(h: np.ndarray, seen: np.ndarray, noise: np.ndarray, bias: tuple[np.ndarray, np.ndarray], floor: tuple[np.ndarray, np.ndarray]) -> tuple:
+    """Noise-contrastive gradients of a batch: for contexts ``h``, the vectors of the seen words and of the noise, and both biases.
+
+    ``floor`` is the log of (noise words a seen word * their probability), for both. The loss is the sum of
+    -log s(x) over seen words and -log(1 - s(x)) over every context and noise word, with x a logit less its floor.
+    """
+    up = -sigmoid(-((h * seen).sum(1) + bias[0] - floor[0]))
+    down = sigmoid(h @ noise.T + (bias[1] - floor[1]))
+    return up[:, None] * seen + down @ noise, up[:, None] * h, down.T @ h, up, down.sum(0)
+
+
+class Place:
+    """One place's model: context rows (DIM values and their step sum) and word rows (DIM values, bias and both step sums)."""
+
+    def __init__(self, noise: np.ndarray, seed: int):
+        r = np.random.default_rng(seed)
+        k = len(noise)
+        self.context = np.concatenate((r.standard_normal((k, DIM)) * 0.1, np.zeros((k, 1))), 1).astype(np.float32)
+        self.word = np.concatenate((r.standard_normal((k, DIM)) * 0.1, np.log(noise)[:, None], np.zeros((k, 2))), 1).astype(np.float32)
+
+    def descend(self, c: np.ndarray, w: np.ndarray, drawn: np.ndarray, floor: np.ndarray, touched: tuple[np.ndarray, np.ndarray]) -> None:
+        """One step on contexts ``c``, their words ``w`` and the noise ``drawn``."""
+        uc, ic = np.unique(c, return_inverse=True)
+        uw, iw = np.unique(np.concatenate((w, drawn)), return_inverse=True)
+        seen, noise = iw[: len(w)], iw[len(w) :]
+        own, words, f = self.context[uc], self.word[uw], floor[uw]
+        h, r, b = own[ic, :DIM], words[:, :DIM], words[:, DIM]
+        gh, up, down, bu, bd = gradient(h, r[seen], r[noise], (b[seen], b[noise]), (f[seen], f[noise]))
+        gw = np.concatenate((up, down))
+        gc_, gr = np.empty((len(uc), DIM), np.float32), np.empty((len(uw), DIM), np.float32)
+        for k in range(DIM):
+            gc_[:, k] = np.bincount(ic, gh[:, k], len(uc))
+            gr[:, k] = np.bincount(iw, gw[:, k], len(uw))
+        gb = np.bincount(iw, np.concatenate((bu, bd)), len(uw)).astype(np.float32)
+        own[:, DIM] += (gc_ * gc_).mean(1)
+        words[:, DIM + 1] += (gr * gr).mean(1)
+        words[:, DIM + 2] += gb * gb
+        own[:, :DIM] -= RATE * gc_ / np.sqrt(own[:, DIM:] + 1e-3)
+        words[:, :DIM] -= RATE * gr / np.sqrt(words[:, DIM + 1 : DIM + 2] + 1e-3)
+        words[:, DIM] -= 0.1 * RATE * gb / np.sqrt(words[:, DIM + 2] + 1e-3)
+        self.context[uc], self.word[uw] = own, words
+        touched[0][uc] += np.bincount(ic)
+        touched[1][uw] += np.bincount(iw)
+
+    def norms(self, a: int, b: int) -> np.ndarray:
+        """Log normalisers of the contexts from ``a`` up to ``b``."""
+        r, bias = self.word[:, :DIM].T.copy(), self.word[:, DIM]
+        out = []
+        for k in range(a, b, 128):
+            x = self.context[k : min(b, k + 128), :DIM] @ r
+            x += bias
+            top = x.max(1)
+            x -= top[:, None]
+            out.append(top + np.log(np.exp(x, out=x).sum(1, dtype=np.float64)))
+        return np.concatenate(out)
+
+    def log(self, c: np.ndarray, w: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of class ``w`` after ``c``."""
+        return np.concatenate([(self.context[c[k : k + 65536], :DIM] * self.word[w[k : k + 65536], :DIM]).sum(1) + self.word[w[k : k + 65536], DIM] - norm[c[k : k + 65536]] for k in range(0, len(w), 65536)])
+
+
+class Model:
+    """Both places' models over classes of the smoothed unigram ``noise``."""
+
+    def __init__(self, noise: np.ndarray, trained: bool = True):
+        self.noise, self.places = noise, [Place(noise, p) for p in PLACES]
+        if not trained:
+            for p in self.places:
+                p.context[:], p.word[:] = 0, 0
+        self.norm: list[np.ndarray] = []
+
+    def log10(self, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log10 probability of each token's class."""
+        own = [m.log(contexts(w, starts, p), w, z) for p, m, z in zip(PLACES, self.places, self.norm)]
+        return (np.logaddexp.reduce(own) - np.log(len(own))) / np.log(10)
+
+
+def train_round(model: Model, rows: Iterator[pd.DataFrame], turn: int, seed: int) -> Iterator[pd.DataFrame]:
+    """Descend on this task's training tokens; returns blocks of the rows it touched, with how often."""
+    r = np.random.default_rng((seed, turn))
+    edges, floor = np.cumsum(model.noise), np.log(NOISE * model.noise).astype(np.float32)
+    k = len(floor)
+    touched = [(np.zeros(k, np.int64), np.zeros(k, np.int64)) for _ in PLACES]
+    for b in rows:
+        for sizes, learn, w in zip(b["sizes"], b["learn"], b["w"]):
+            sizes, learn, w = _open(sizes, "<i8"), _open(learn, "?"), _open(w, "<u2")
+            starts, use = np.cumsum(sizes) - sizes, np.repeat(learn, sizes)
+            before, own = [contexts(w, starts, p)[use] for p in PLACES], w[use]
+            for at in r.permutation(np.arange(turn * BATCH, len(own), ROUNDS * BATCH)):
+                drawn = np.minimum(np.searchsorted(edges, r.random(NOISE)), k - 1).astype(own.dtype)
+                for m, c, t in zip(model.places, before, touched):
+                    m.descend(c[at : at + BATCH], own[at : at + BATCH], drawn, floor, t)
+    for p, (m, t) in enumerate(zip(model.places, touched)):
+        for kind, (x, n) in enumerate(((m.context, t[0]), (m.word, t[1]))):
+            for at in range(0, k, BLOCK):
+                if n[at : at + BLOCK].any():
+                    own = x[at : at + BLOCK].copy()
+                    own[:, DIM + kind :] **= 0.5  # step sums outgrow two bytes, their roots don't
+                    yield pd.DataFrame({"key": [f"{p} {kind} {at}"], "n": [n[at : at + BLOCK].astype("<i8").tobytes()], "x": [own.astype("<f2").tobytes()]})
+
+
+def _average(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of all tasks to one a key: sums of touches and of rows weighted by them."""
+    held: dict[str, list] = {}
+    for b in rows:
+        for key, n, x in zip(b["key"], b["n"], b["x"]):
+            n = np.frombuffer(n, "<i8").astype(np.float64)
+            x = n[:, None] * np.frombuffer(x, "<f2").reshape(len(n), -1)
+            own = held.setdefault(key, [np.zeros_like(n), np.zeros_like(x)])
+            own[0] += n
+            own[1] += x
+    for key, (n, x) in held.items():
+        yield pd.DataFrame({"key": [key], "n": [n.tobytes()], "x": [x.tobytes()]})
+
+
+_BLOCKS = "key string, n binary, x binary"
+
+
+def train(numbered: DataFrame, noise: np.ndarray, tokens: int) -> Model:
+    """A model of the classes with smoothed unigram ``noise``, trained on the chunks of ``numbered``."""
+    spark, model = numbered.sparkSession, Model(noise, tokens > 0)
+    rows = numbered.select("sizes", "learn", "w").coalesce(max(1, -(-tokens // SHARE)))
+    for turn in range(ROUNDS if tokens else 0):
+        held = spark.sparkContext.broadcast(model)
+
+        def run(b: Iterator[pd.DataFrame], turn=turn, held=held) -> Iterator[pd.DataFrame]:
+            own = Model(held.value.noise)
+            for m, x in zip(own.places, held.value.places):
+                m.context, m.word = x.context.copy(), x.word.copy()
+            return train_round(own, b, turn, TaskContext.get().partitionId())
+
+        for r in rows.mapInPandas(run, _BLOCKS).repartition("key").mapInPandas(_average, _BLOCKS).toLocalIterator():
+            p, kind, at = map(int, r.key.split())
+            n = np.frombuffer(r.n, np.float64)
+            x = np.frombuffer(r.x, np.float64).reshape(len(n), -1)
+            to = (model.places[p].context, model.places[p].word)[kind][at : at + len(n)]
+            new = x[n > 0] / n[n > 0, None]
+            new[:, DIM + kind :] **= 2
+            to[n > 0] = new
+    held = spark.sparkContext.broadcast(model)
+
+    def norms(b: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in b:
+            for at in x["id"]:
+                z = [m.norms(at, min(len(noise), at + BLOCK)) for m in held.value.places]
+                yield pd.DataFrame({"at": [at], "z": [np.concatenate(z).tobytes()]})
+
+    blocks = -(-len(noise) // BLOCK)
+    got = sorted(spark.range(0, blocks * BLOCK, BLOCK, blocks).mapInPandas(norms, "at long, z binary").collect())
+    model.norm = [np.concatenate(x) for x in zip(*(np.frombuffer(r.z, np.float64).reshape(len(PLACES), -1) for r in got))]
+    return model
+
+
+def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, least: int = LEAST) -> DataFrame:
+    """Train on the rows where ``learn`` is true and score all; ``vocabulary`` is at most 65,536.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (the model), both log10.
     """
-    spark = docs.sparkSession
-    shards = min(512, max(16, shuffle_width(spark)))
-    words = cut(chunked(docs, F.coalesce(learn, F.lit(False)), shards, doc_id, text), "lm-chunks")
-    sums = cut(words.filter("kind = 1").select("chunk", "shard", "a", "b").groupBy("shard").applyInPandas(totals, _ROWS), "lm-counts")
-    stats = sums.filter("kind = 3").select("ids", "a", "b").collect()
-    hashes = np.concatenate([_open(r.a, "<u8") for r in stats] + [np.zeros(0, np.uint64)])
-    counts = np.concatenate([_open(r.b, "<i8") for r in stats] + [np.zeros(0, np.int64)])
-    n, v = (sum(int(r.ids.split()[i]) for r in stats) for i in (0, 1))
-    classes = spark.sparkContext.broadcast(Classes(hashes, counts, n, v))
-
-    def number(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _number(classes.value, key, a, b)
-
-    left = words.filter("kind = 0").groupBy("chunk")
-    numbered = cut(left.cogroup(sums.filter("kind = 2").groupBy("chunk")).applyInPandas(number, _ROWS), "lm-numbered")
-    table = np.zeros((CLASSES * CLASSES, CLASSES), np.float32)
-    groups = numbered.filter("kind = 5").select("shard", "a", "b").repartition(GROUPS // 4, "shard").mapInPandas(_add, "shard int, a binary")
-    for r in groups.toLocalIterator():
-        table[r.shard :: GROUPS] = _open(r.a, "<i8").reshape(-1, CLASSES)
-    model = spark.sparkContext.broadcast(LogBilinear(table))
+    spark, home = docs.sparkSession, work_dir(docs.sparkSession)
+    with scratch(spark):
+        chunks = cut(chunked(docs, F.coalesce(learn, F.lit(False)), doc_id, text), "lm-chunks")
+        every = Window.partitionBy("word")
+        words = chunks.filter("place >= 0").select("chunk", "place", "word", "n")
+        counted = cut(words.select("chunk", "place", "word", (F.row_number().over(every.orderBy("chunk")) == 1).alias("first"), F.sum("n").over(every).alias("c")), "lm-counted")
+        n, v, end = counted.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
+        known = cut(vocabulary_of(counted, vocabulary, least), "lm-vocabulary")
+        top = np.array([r.c for r in known.select("c", "number").orderBy("number").collect()], np.int64)
+        classes = len(top) + 2
+        taken = int((top + 1).sum()) + (end + 1 if end else 0)
+        rest = n + v + 1 - taken  # smoothed counts of all other words, the unseen one included
+        uni = np.concatenate(([end], top, [n - end - top.sum()])).astype(np.float64)
+
+        def number(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return _numbered(classes, n, v, rest, a, b)
+
+        named = counted.join(F.broadcast(known.select("word", "number")), "word", "left").select("chunk", "place", "c", F.coalesce("number", F.lit(classes - 1)).alias("number"))
+        left = chunks.filter("place < 0").select("chunk", "ids", "sizes", "learn", "codes").groupBy("chunk")
+        numbered = left.cogroup(named.groupBy("chunk")).applyInPandas(number, "ids array<string>, sizes binary, learn binary, w binary, sums binary")
+        numbered = cut(numbered, "lm-numbered", home)
+    model = spark.sparkContext.broadcast(train(numbered, (uni + 1) / (uni.sum() + classes), n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, a, s, w in zip(b["ids"], b["a"], b["b"], b["c"]):
-                sizes, w = _open(a, "<i8"), _open(w, "u1")
-                base, tail, known = _open(s, "<f8").reshape(3, -1)
+            for ids, sizes, w, s in zip(b["ids"], b["sizes"], b["w"], b["sums"]):
+                sizes, w = _open(sizes, "<i8"), _open(w, "<u2")
+                base, tail, seen = _open(s, "<f8").reshape(3, -1)
                 starts = np.cumsum(sizes) - sizes
-                own = np.add.reduceat(model.value.log10(w, contexts(w, starts)), starts, dtype=np.float64)
-                yield pd.DataFrame({"id": ids.split("\n"), "n_tokens": sizes, "n_known": known.astype(np.int64), "train_tokens": n, "base_score": base, "score": own + tail})
+                own = np.add.reduceat(model.value.log10(w, starts), starts)
+                yield pd.DataFrame({"id": ids, "n_tokens": sizes, "n_known": seen.astype(np.int64), "train_tokens": n, "base_score": base, "score": own + tail})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = numbered.filter("kind = 4").select("ids", "a", "b", "c").mapInPandas(run, "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return got.select(F.expr("nullif(id, '')").cast(kind).alias(doc_id), *got.columns[1:])
+    got = numbered.select("ids", "sizes", "w", "sums").mapInPandas(run, "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return got.select(F.col("id").cast(kind).alias(doc_id), *got.columns[1:])

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 SAMPLE = (4500, 2000)  # of label 0 and label 1
 DIM, EPOCHS, BATCH, RATE, GAIN = 8, 12, 32, 2.0, 100.0
+CLIP = 0.25  # largest step of an embedding, before the rate
 STEPS = 600  # at least so many batches, however few the documents
 LEAST = 2  # documents of the sample that a subword must occur in to be trained
 BLOCK = 1 << 18
@@ -76,6 +77,18 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
+def gradient(e: np.ndarray, w: np.ndarray, b: np.ndarray, doc: np.ndarray, row: np.ndarray, val: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple:
+    """Gradients of the weighted cross entropy by embeddings ``e``, softmax weights ``w`` and biases ``b``: document doc[i] has val[i] of embedding row[i], and label y."""
+    m = len(y)
+    h = np.stack([np.bincount(doc, val * e[row, d], m) for d in range(e.shape[1])], 1)
+    z = h @ w + b
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    g = (p - np.eye(2)[y]) * weight[y][:, None] / m
+    gh = (g @ w.T).astype(e.dtype)
+    return np.stack([np.bincount(row, val * gh[doc, d], len(e)) for d in range(e.shape[1])], 1), h.T @ g, g.sum(0)
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, buckets: int = BUCKETS, least: int = LEAST, seed: int = 7) -> Model:
     """Train on ``bags`` (distinct subwords, counts) with 0/1 ``labels``; ``share``: share of label 1 that the threshold counts with."""
     rng = np.random.default_rng(seed)
@@ -104,18 +117,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
         rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
             rows, inv, val, doc, y = batches[k]
-            m = len(y)
             own = e[rows]
-            h = np.stack([np.bincount(doc, val * own[inv, d], m) for d in range(DIM)], 1)
-            z = h @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = (p - np.eye(2)[y]) * weight[y][:, None] / m
-            gh = (g @ w.T).astype(np.float32)
-            grad = np.stack([np.bincount(inv, val * gh[doc, d], len(rows)) for d in range(DIM)], 1)
-            e[rows] = own - rate * grad.astype(np.float32)
-            w -= (0.02 * rate * (h.T @ g)).astype(np.float32)
-            b -= (0.02 * rate * g.sum(0)).astype(np.float32)
+            ge, gw, gb = gradient(own, w, b, doc, inv, val, y, weight)
+            ge *= np.minimum(1, CLIP / np.maximum(np.linalg.norm(ge, axis=1, keepdims=True), 1e-30))  # few subwords, great steps
+            e[rows] = own - rate * ge.astype(np.float32)
+            w -= (0.02 * rate * gw).astype(np.float32)
+            b -= (0.02 * rate * gb).astype(np.float32)
     weights = np.zeros(buckets, np.float32)
     weights[used] = GAIN * (e @ (w[:, 1] - w[:, 0]))
     bias = float(b[1] - b[0])

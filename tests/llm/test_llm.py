@@ -280,15 +280,106 @@ def test_lm(docs, none):
     got = lm.score(docs, F.col("doc_id") % 2 == 0).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
-    assert all(r.score == pytest.approx(-math.log10(lm.CLASSES) * r.n_tokens, abs=1e-3) for r in lm.score(docs, F.lit(False)).filter("n_tokens = 1").collect())
+    assert all(r.score == pytest.approx(-math.log10(2) * r.n_tokens, abs=1e-6) for r in lm.score(docs, F.lit(False)).collect())
     assert lm.score(none, F.lit(True)).count() == 0
 
 
-def test_lm_is_normalised():
-    r = np.random.default_rng(1)
-    m = lm.LogBilinear(r.integers(0, 3, (lm.CLASSES**2, lm.CLASSES)).astype(np.float32))
-    w = np.arange(lm.CLASSES)
-    assert np.isclose((10.0 ** m.log10(w, np.full(lm.CLASSES, 517)).astype(float)).sum(), 1, atol=1e-4)
+def test_lm_words_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 5)
+    long = "y" * 5000
+    data = [("a\nb", f"x {long} {long}"), ("", "X x " + "y" * 4999), (None, None), ("c", "x\x1cx é É")]
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in lm.score(spark.createDataFrame(data, "doc_id string, text string"), F.col("doc_id") == "a\nb").collect()}
+    assert got == {"a\nb": (4, 4, 4), "": (4, 3, 4), None: (1, 1, 4), "c": (4, 1, 4)}
+
+
+def test_lm_vocabulary(spark):
+    words = [(f"w{i}".encode(), n) for i, n in enumerate([900, 50, 50, 9, 9, 9, 5, 4, 4])] + [(b"", 1000)]
+    df = spark.createDataFrame([(w, n, True) for w, n in words] + [(b"w0", 900, False)], "word binary, c long, first boolean")
+    for most, want in ((100, 7), (9, 7), (8, 6), (7, 3), (4, 1), (2, 0)):
+        got = sorted((r.number, bytes(r.word)) for r in lm.vocabulary_of(df, most, 5).collect())
+        assert got == [(i + 1, f"w{i}".encode()) for i in range(want)], most
+
+
+def test_lm_contexts():
+    sizes, r = [1, 3, 1, 1, 5, 2], np.random.default_rng(0)
+    docs = [r.integers(1, 9, n) for n in sizes]
+    starts = np.cumsum(sizes) - sizes
+    for place in (1, 2):
+        want = [d[i - place] if i >= place else 0 for d in docs for i in range(len(d))]
+        assert lm.contexts(np.concatenate(docs), starts, place).tolist() == want
+
+
+def test_lm_forward_pass():
+    r, k = np.random.default_rng(1), 37
+    m = lm.Model(np.full(k, 1 / k))
+    for p in m.places:
+        p.context += r.standard_normal(p.context.shape).astype(np.float32)
+        p.word += r.standard_normal(p.word.shape).astype(np.float32)
+    m.norm = [p.norms(0, k) for p in m.places]
+    each = [np.exp(p.context[:, : lm.DIM].astype(float) @ p.word[:, : lm.DIM].T.astype(float) + p.word[:, lm.DIM]) for p in m.places]
+    each = [x / x.sum(1, keepdims=True) for x in each]
+    w, starts = r.integers(0, k, 300).astype(np.uint16), np.array([0, 1, 5, 250])
+    c = [lm.contexts(w, starts, p) for p in lm.PLACES]
+    assert np.allclose(m.log10(w, starts), np.log10((each[0][c[0], w] + each[1][c[1], w]) / 2), atol=1e-4)
+    for a, b in ((3, 5), (0, 0)):  # over all words that could come next the probabilities sum to one
+        total = sum(10.0 ** m.log10(np.array([a, b, x], np.uint16), np.array([0]))[2] for x in range(k))
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_gradient():
+    r = np.random.default_rng(2)
+    h, seen, noise = (r.standard_normal((n, 4)) for n in (6, 6, 3))
+    bias, floor = [tuple(r.standard_normal(n) for n in (6, 3)) for _ in range(2)]
+
+    def loss():
+        up = (h * seen).sum(1) + bias[0] - floor[0]
+        down = h @ noise.T + bias[1] - floor[1]
+        return np.log1p(np.exp(-up)).sum() + np.log1p(np.exp(down)).sum()
+
+    for x, g in zip((h, seen, noise, *bias), lm.gradient(h, seen, noise, bias, floor)):
+        for i in np.ndindex(x.shape):
+            x[i] += 1e-6
+            up = loss()
+            x[i] -= 2e-6
+            down = loss()
+            x[i] += 1e-6
+            assert (up - down) / 2e-6 == pytest.approx(g[i], abs=1e-5)
+
+
+def test_lm_learns(spark):
+    r = random.Random(3)
+    pairs = [("salt", "pepper"), ("king", "queen"), ("left", "right"), ("day", "night")]
+    texts = [" ".join(x for _ in range(100) for x in r.choice(pairs)) for _ in range(400)]
+    got = lm.score(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2), F.col("doc_id") % 4 != 0).filter("doc_id % 4 = 0").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.8 * got[1]
+
+
+def test_toxicity_gradient_and_forward_pass():
+    r = np.random.default_rng(3)
+    bags = [(np.unique(r.integers(0, 64, 9)), None) for _ in range(60)]
+    bags = [(i, r.integers(1, 4, len(i))) for i, _ in bags]
+    y = r.integers(0, 2, 60)
+    m = toxicity.fit(bags, y, float(y.mean()), 64, 1)
+    text = "some text of a few words"
+    own = np.concatenate(list(toxicity.blocks(text, 64)))
+    assert m.score(text) == pytest.approx(1 / (1 + math.exp(-(m.weights[own].astype(float).mean() + m.bias))))
+    e, w, b, y = r.standard_normal((7, 3)), r.standard_normal((3, 2)), r.standard_normal(2), np.array([0, 1, 1, 0])
+    doc, row, val, weight = np.array([0, 0, 1, 2, 2, 3]), np.array([0, 1, 1, 3, 5, 6]), r.random(6), np.array([1.0, 3.0])
+
+    def loss():
+        h = np.zeros((4, 3))
+        np.add.at(h, doc, val[:, None] * e[row])
+        z = h @ w + b
+        return float((weight[y] * (np.log(np.exp(z).sum(1)) - z[np.arange(4), y])).sum() / 4)
+
+    for x, g in zip((e, w, b), toxicity.gradient(e, w, b, doc, row, val, y, weight)):
+        for i in np.ndindex(x.shape):
+            x[i] += 1e-6
+            up = loss()
+            x[i] -= 2e-6
+            down = loss()
+            x[i] += 1e-6
+            assert (up - down) / 2e-6 == pytest.approx(g[i], abs=1e-5)
 
 
 def test_files(spark, docs, none):

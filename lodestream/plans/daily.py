@@ -46,7 +46,11 @@ def daily_stats_full(spark, d):
 
 @query(f"{_ROLL} SELECT * FROM stats WHERE day >= (SELECT max(day) FROM stats) - INTERVAL 14 DAY")
 def daily_stats_window14(spark, d):
-    return stats.refresh(daily(spark, d), "user_id", 14)
+    from ..session import cut
+
+    x = cut(daily(spark, d), "daily")
+    start = F.lit(x.agg(F.date_sub(F.max("day"), 14)).first()[0])
+    return stats.refresh(x.filter(F.col("day") >= start), "user_id", stats.state_of(x.filter(F.col("day") < start), "user_id"))
 
 
 @query(f"{_ROLL} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM stats WHERE day < DATE '2024-01-15') WHERE rn = 1")

@@ -22,7 +22,29 @@ def one(spark, c, value, kind="string"):
 
 @pytest.mark.parametrize(
     ("credit", "names"),
-    [("A feat. B, C & D", ["A", "B", "C", "D"]), ("A with B", ["A", "B"]), ("AwithB", ["AwithB"]), ("boywithuke/blackbear", ["boywithuke", "blackbear"]), ("AC/DC", ["AC/DC"]), (None, []), ("", []), ("A x B (ft. C)", ["A", "B", "C"])],
+    [
+        ("Mira feat. Tove; Ode & Nils", ["Mira", "Tove", "Ode", "Nils"]),
+        ("Mira ft.Tove", ["Mira", "Tove"]),
+        ("Mira feat Tove", ["Mira", "Tove"]),
+        ("Mira Featured  By Tove", ["Mira", "Tove"]),
+        ("Mira [featuring Tove]", ["Mira", "Tove"]),
+        ("Lefty featureless", ["Lefty featureless"]),
+        ("Mira vs. Tove versus Ode", ["Mira", "Tove", "Ode"]),
+        ("Withers", ["Withers"]),
+        ("Smithwith Jonas", ["Smithwith Jonas"]),
+        ("mira/tove", ["mira", "tove"]),
+        ("mira ／ tove 2", ["mira", "tove 2"]),
+        ("mira//tove", ["mira//tove"]),
+        ("a/b/c", ["a/b/c"]),
+        ("XY/Z2", ["XY/Z2"]),
+        ("mira/!", ["mira/!"]),
+        ("Mira × Tove (ft. Ode)", ["Mira", "Tove", "Ode"]),
+        ("Maxx Tove", ["Maxx Tove"]),
+        ("「Mira」、'Tove'", ["Mira", "Tove"]),
+        (None, []),
+        ("", []),
+        (" ; ", []),
+    ],
 )
 def test_credit(spark, credit, names):
     assert one(spark, t.split_credit, credit) == names
@@ -57,7 +79,19 @@ def test_refresh_equals_full(spark):
     df = spark.createDataFrame(rows, "day date, id int, listen_count long")
     last = max(r[0] for r in rows) - dt.timedelta(days=20)
     full = [tuple(r) for r in stats.daily_stats(df, "id").filter(F.col("day") >= F.lit(last)).collect()]
-    assert sorted(tuple(r) for r in stats.refresh(df, "id", 20).collect()) == sorted(full) != []
+    old, new = df.filter(F.col("day") < F.lit(last)), df.filter(F.col("day") >= F.lit(last))
+    assert sorted(tuple(r) for r in stats.refresh(new, "id", stats.state_of(old, "id")).collect()) == sorted(full) != []
+    half = last - dt.timedelta(days=9)  # a state that was carried on by rows equals one made from all of them
+    carried = stats.advance(stats.state_of(df.filter(F.col("day") < F.lit(half)), "id"), old.filter(F.col("day") >= F.lit(half)), "id")
+    assert sorted(tuple(r) for r in carried.collect()) == sorted(tuple(r) for r in stats.state_of(old, "id").collect())
+
+
+def test_percentiles_of_hot_values(spark, monkeypatch):
+    rows = [(DAYS[i % 2], i, 1 if i % 3 else i) for i in range(4000)] + [(DAYS[2], i, 2) for i in range(0, 4000, 2)]
+    df = spark.createDataFrame(rows, "day date, id int, listen_count long")
+    want = sorted(tuple(r) for r in stats.daily_stats(df, "id").collect())
+    monkeypatch.setattr(stats, "FEW", 0)
+    assert sorted(tuple(r) for r in stats.daily_stats(df, "id").collect()) == want
 
 
 def test_merge(spark):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, delete, scratch, shared_dir, table, work_dir
 
-__all__ = ["cut", "delete", "join_groups", "remainder", "scratch", "shared_dir", "shuffle_width", "table", "work_dir"]
+__all__ = ["FEW", "cut", "delete", "few", "join_groups", "remainder", "scratch", "shared_dir", "shuffle_width", "slices", "table", "work_dir"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -19,6 +22,15 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+#: Rows of a written table of a few numbers each that may be broadcast.
+FEW = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, a written table of short rows, marked for broadcast where it has at most ``most`` rows; else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` with one ``groups`` row per key, safe for keys that hold most rows.
 
@@ -30,3 +42,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     hot, rest = groups.filter(F.col(size) > floor), groups.filter(F.col(size) <= floor)
     hot = F.broadcast(hot)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that of long texts only few are held twice."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -27,11 +27,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 5_000_000
+from .common import slices
+
+BLOCK_CHARS = 2_000_000
 HELD = 400_000
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s$")
@@ -233,34 +235,36 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless ``ids`` is False, ids (array of int)."""
 
-    def block(c: Codec, names: list, texts: list[str | None]) -> pd.DataFrame:
-        out = []
-        for x in c.encode(texts):
-            row = (len(x), hashlib.sha256(c.decimal(x)).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest())
-            out.append((*row, x.astype(np.int32)) if ids else row)
-        frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + ids])
-        frame.insert(0, "__id", names)
-        return frame
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["__id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids]
+
+    def block(c: Codec, keys: list, texts: list[str | None]) -> pa.RecordBatch:
+        got = c.encode(texts)
+        digests = [[hashlib.sha256(x).hexdigest() for x in (c.decimal(own), c.decode(own))] for own in got]
+        columns = [pa.array(keys, pa.string()), pa.array([len(x) for x in got], pa.int64()), *(pa.array(x, pa.string()) for x in zip(*digests))]
+        if ids:
+            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, np.concatenate(got).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         gc.disable()  # millions of small objects without cycles
         try:
-            for b in batches:
-                names, texts, size = [], [], 0
-                for i, t in zip(b["__id"], b["__text"]):
-                    names.append(i)
+            keys, texts, size = [], [], 0
+            for b in slices(batches):
+                for i, t in zip(b["__id"].to_pylist(), b["__text"].to_pylist()):
+                    keys.append(i)
                     texts.append(t)
                     size += len(t or "")
                     if size >= BLOCK_CHARS:
-                        yield block(c, names, texts)
-                        names, texts, size = [], [], 0
-                if names:
-                    yield block(c, names, texts)
+                        yield block(c, keys, texts)
+                        keys, texts, size = [], [], 0
+            if keys:
+                yield block(c, keys, texts)
         finally:
             gc.enable()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = "__id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    got = docs.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).alias("__text")).mapInPandas(run, schema)
+    got = docs.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).alias("__text")).mapInArrow(run, schema)
     return got.select(F.col("__id").cast(kind).alias(doc_id), *got.columns[1:])

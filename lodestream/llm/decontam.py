@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import slices
+
 CHARS_PER_EDIT = 25
 BLOCK_CHARS = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -167,7 +169,7 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", item: str
 
     def scan(name: str, held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 m = _matcher(name, held)
                 at, got = [], []
                 for n, t in enumerate(b["__text"].to_pylist()):
@@ -192,7 +194,7 @@ def clean(docs: DataFrame, bench: DataFrame, item: str = "item_id", text: str =
 
     def scan(df: DataFrame, name: str, held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 m = _matcher(name, held)
                 yield b.filter(pa.array([not m.find(t, first=True) for t in b[text].to_pylist()], pa.bool_()))
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 UNDETERMINED = "und"
 PLACES = 400
 BLOCK = 1 << 20
@@ -160,7 +162,7 @@ def predict(rows: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [held.value.predict(x) for x in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b[k] for k in keep] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
@@ -178,7 +180,7 @@ def accept(rows: DataFrame, profiles: Profiles, languages: set[str] | None = Non
     held = rows.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [held.value.distances(x) for x in b["text"].to_pylist()]
             fits = [d is not None and d.min() <= most and (languages is None or held.value.langs[int(np.argmin(d))] in languages) for d in got]
             yield b.filter(pa.array(fits, pa.bool_()))

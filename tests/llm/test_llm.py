@@ -466,7 +466,7 @@ def test_long_texts_in_small_blocks(spark, monkeypatch):
     r = random.Random(12)
     long = " ".join(r.choice(WORDS) + str(r.randint(0, 9)) for _ in range(2000))
     df = spark.createDataFrame([(1, long), (2, None), (3, "a b")], "doc_id long, text string")
-    bag, fp, bands, ids = toxicity.bag(long), simhash.fingerprint(long), similar.bands(similar.shingles(long)), bpe.codec().encode([long])[0].tolist()
+    bag, fp, bands, ids = toxicity.bag(long), simhash.fingerprint(long), similar.bands(similar.minima(similar.shingles(long))), bpe.codec().encode([long])[0].tolist()
     files = rows(idfile.write_and_read(df))
     monkeypatch.setattr(toxicity, "BLOCK", 64)
     monkeypatch.setattr(simhash, "_PART", 7)
@@ -474,7 +474,7 @@ def test_long_texts_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
     monkeypatch.setattr(idfile, "BLOCK_CHARS", 50)
     assert all((a == b).all() for a, b in zip(bag, toxicity.bag(long))) and fp == simhash.fingerprint(long)
-    assert (bands == similar.bands(similar.shingles(long))).all() and ids == bpe.codec().encode([long])[0].tolist()
+    assert (bands == similar.bands(similar.minima(similar.shingles(long)))).all() and ids == bpe.codec().encode([long])[0].tolist()
     assert rows(idfile.write_and_read(df)) == files
 
 

@@ -88,6 +88,24 @@ def curve_at_k(df: DataFrame, order: list, truth: str, ks: list[int]) -> DataFra
     return x.select("k", "hits", (F.col("hits") / F.col("k")).alias("precision"), F.try_divide("hits", "__p").alias("recall"), F.try_divide(F.col("hits") / F.col("k"), F.col("__p") / F.col("__n")).alias("lift"))
 
 
+def curve_points(df: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
+    """Points of the ROC and precision-recall curves: one row per distinct score (tpr is also recall)."""
+    v = value_ranks(df, score, truth)
+    whole = v.agg(F.sum("pos").alias("__p"), F.sum("n").alias("__t"))
+    x = v.join(F.broadcast(whole), F.lit(True))
+    false, neg = F.col("n_above") - F.col("pos_above"), F.col("__t") - F.col("__p")
+    return x.select(F.col("s").alias("score"), F.try_divide("pos_above", "__p").alias("tpr"), F.try_divide(false, neg).alias("fpr"), (F.col("pos_above") / F.col("n_above")).alias("precision"))
+
+
+def curve_at_every_k(df: DataFrame, score: str, key: str, truth: str) -> DataFrame:
+    """Hits, precision, recall and lift among the first k rows for every k; largest score first, ties by ``key``. No task ranks all rows."""
+    rows = cut(df.select((-F.col(score)).alias("__down"), F.col(key).alias("__key"), (F.col(truth) == 1).cast("int").alias("hit")), "hits")
+    whole = rows.agg(F.count("*").alias("__n"), F.sum("hit").alias("__p"))
+    x = running(rows, "__down", "__key", {"k": "1L", "hits": "hit"}).join(F.broadcast(whole), F.lit(True))
+    share = F.col("hits") / F.col("k")
+    return x.select("k", "hits", share.alias("precision"), F.try_divide("hits", "__p").alias("recall"), F.try_divide(share, F.col("__p") / F.col("__n")).alias("lift"))
+
+
 def regression(df: DataFrame, truth: str, guess: str) -> DataFrame:
     y, p = F.col(truth).cast("double"), F.col(guess).cast("double")
     return df.agg(F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), F.avg(F.abs(y - p)).alias("mae"), (1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))).alias("r2"))

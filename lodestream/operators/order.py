@@ -131,3 +131,9 @@ def running(df: DataFrame, value: str, tie: str, sums: dict[str, str], enough: i
     out = df.join(F.broadcast(starts), (F.col("__place") == F.col("__pl")) & (F.col("__sub") == F.col("__su")))
     out = out.withColumns({c: F.sum(F.expr(e)).over(within) + F.col(f"__s_{c}") for c, e in sums.items()})
     return out.drop("__place", "__sub", "__pl", "__su", *[f"__s_{c}" for c in sums])
+
+
+def indexed(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """``df`` with the position of its distinct ``key`` in ascending order, from 0, without ordering all rows in one task."""
+    rows = cut(df.withColumn("__at", F.col(key).cast("double")), "keys")
+    return running(rows, "__at", key, {name: "1L"}).withColumn(name, F.col(name) - 1).drop("__at")

@@ -24,6 +24,11 @@ def last_n(ratings: DataFrame, n: int) -> DataFrame:
     return ratings.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
+def recent_positives(ratings: DataFrame, n: int, least: int = 4) -> DataFrame:
+    """The good ones among each user's last ``n`` ratings: fewer than ``n`` for users whose last ratings are poor."""
+    return positives(last_n(ratings, n), least)
+
+
 def popular(ratings: DataFrame, k: int, least: int = 4) -> DataFrame:
     """The ``k`` items with most good ratings; ties: smaller id."""
     return positives(ratings, least).groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(k)

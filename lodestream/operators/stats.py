@@ -170,6 +170,14 @@ def cutoff_search(per_day: DataFrame, least_train: int, least_test: int, least_p
     )
 
 
+def choose_cutoff(per_day: DataFrame, least_train: int, least_test: int, least_pos: int) -> DataFrame:
+    """The latest cutoff of ``cutoff_search`` that holds all limits; where none does, the one that comes nearest by shares of the limits reached, then the latest."""
+    limits = {"train_n": least_train, "test_n": least_test, "train_pos": least_pos, "test_pos": least_pos}
+    near = sum((F.least(F.col(c) / F.lit(float(least)), F.lit(1.0)) for c, least in limits.items()), F.lit(0.0))
+    found = cutoff_search(per_day, least_train, least_test, least_pos).withColumn("__near", F.when(F.col("ok"), 5.0).otherwise(F.round(near, 9)))
+    return found.orderBy(F.desc("__near"), F.desc("day")).limit(1).drop("__near")
+
+
 def sequences(df: DataFrame, entity: str, columns: list[str], target: str, length: int) -> DataFrame:
     """For each row with ``length`` rows before it, these rows' features in order, and the row's target."""
     w = Window.partitionBy(entity).orderBy("day").rowsBetween(-length, -1)

@@ -75,6 +75,6 @@ def delete_one(df: DataFrame, where, order: list[str]) -> DataFrame:
     return _first(df, where, order).filter(~F.col("__hit")).drop("__hit")
 
 
-def write_facts(df: DataFrame, path: str, partition: str = "dump_id") -> None:
+def write_facts(df: DataFrame, path: str, *partition: str) -> None:
     """Replace whole partitions: repeating a load changes nothing."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(partition or ("dump_id",))).parquet(path)

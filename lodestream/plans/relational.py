@@ -20,7 +20,7 @@ shared("inner_dim", "SELECT c_name, n_name, round(sum(o_totalprice), 2) AS spent
 shared("left_default", "SELECT c_custkey, coalesce(n, 0) AS orders FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY 1) x ON c_custkey = o_custkey")
 shared("semi_exists_or", """SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F') OR
  EXISTS (SELECT 1 FROM {events} WHERE user_id = c_custkey AND event_type = 'purchase') AS has_refs FROM {customer}""")
-shared("anti_not_in", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL)")
+shared("anti_not_in", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 shared("scalar_max_day", "SELECT user_id, count(*) AS n FROM {events} WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM {events}) GROUP BY 1")
 shared("remap_reaggregate", "SELECT m.new_id, count(*) AS n FROM {events} e JOIN (SELECT DISTINCT user_id, user_id % 10 AS new_id FROM {events} UNION ALL SELECT DISTINCT user_id, 100 + user_id % 7 FROM {events}) m ON e.user_id = m.user_id GROUP BY 1")
 shared(
@@ -42,7 +42,7 @@ shared("min_nonempty", "SELECT c_nationkey, min(nullif(trim(c_name), '')) AS nam
 shared("min_key_missing", "SELECT min(c_custkey) AS cold FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
 shared("union_partitions", "SELECT i, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT o_totalprice, 0 AS i FROM {orders} WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_totalprice, 1 FROM {orders} WHERE o_orderkey % 3 <= 1 UNION ALL SELECT o_totalprice, 2 FROM {orders}) GROUP BY 1")
 shared("set_union_ids", "SELECT o_custkey AS id FROM {orders} UNION SELECT user_id FROM {events}")
-shared("set_difference", "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+shared("set_difference", "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P'")
 shared("intersect_ids", "SELECT o_custkey AS id FROM {orders} INTERSECT SELECT user_id FROM {events}")
 shared(
     "ordered_dedup",

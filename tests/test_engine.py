@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as t
-from lodestream.operators import evaluate, identity, impute, profile, recommend, stats, store
+from lodestream.operators import evaluate, identity, impute, profile, recommend, sample, stats, store
 from lodestream.sources import readers, sinks
 from lodestream.streaming import ingest
 
@@ -189,6 +189,42 @@ def test_streaming_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{out}-rejected").count() == 1
 
 
+def test_streaming_keeps_dumps_apart(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    schema = "ts timestamp, user_id long, event_type string"
+
+    def put(name, users):
+        rows = [(dt.datetime(2026, 1, 1, 5), u, "view") for u in users]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"tmp-{name}"))
+        next((tmp_path / f"tmp-{name}").glob("*.parquet")).rename(src / f"{name}.parquet")
+
+    def facts():
+        return sorted((r.dump_id, r.user_id, r.listen_count) for r in spark.read.parquet(out).collect())
+
+    put("x-dump-7-1", [1, 1])
+    put("x-dump-8-1", [1])
+    ingest.ingest_counts(spark, str(src), schema, out, str(tmp_path / "mark"), ["day", "user_id"], "event_type", 100)
+    assert facts() == [(7, 1, 2), (8, 1, 1)]
+    put("x-dump-9-1", [2])
+    for files in (1, 100):  # a lost checkpoint: all files again, in batches of another size
+        ingest.ingest_counts(spark, str(src), schema, out, str(tmp_path / f"mark{files}"), ["day", "user_id"], "event_type", files)
+        assert facts() == [(7, 1, 2), (8, 1, 1), (9, 2, 1)]
+
+
+def test_samples_and_cutoffs(spark):
+    df = spark.range(5000)
+    drawn = [r.id for r in sample.exact(df, "id", 50).collect()]
+    assert len(set(drawn)) == 50 and {r.id for r in sample.exact(df.repartition(7), "id", 50).collect()} == set(drawn)
+    assert 400 < sample.fraction(df, "id", 0.1).count() < 600 and sample.exact(df.limit(3), "id", 50).count() == 3
+    with pytest.raises(ValueError, match="share"):
+        sample.fraction(df, "id", 0.0)
+    days = spark.createDataFrame([(i, 10, 2) for i in range(10)], "day int, n long, pos long")
+    assert stats.choose_cutoff(days, 30, 30, 2).first()[0] == 6 and not stats.choose_cutoff(days, 30, 300, 2).first()["ok"]
+    rated = spark.createDataFrame([(1, i, 5 if i < 3 else 1, i) for i in range(12)], "user_id long, item_id long, rating int, ts long")
+    assert [r.item_id for r in recommend.recent_positives(rated, 10).collect()] == [2]
+
+
 def test_registry():
     import __spark_entry__ as e
 

@@ -244,6 +244,38 @@ def test_similar(spark, docs, none):
     assert similar.near_duplicates(none).count() == 0 and similar.near_duplicates(docs).count() == len(ROWS)
 
 
+def test_similar_cells(spark, monkeypatch):
+    """A group that shares buckets through a passage, most of it unlike, with nodes that leaders don't reach: cells of two small blocks lose no link."""
+    for name, value in (("CHUNK", 3), ("LEADS", 1)):
+        monkeypatch.setattr(similar, name, value)
+    r = random.Random(3)
+    passage = [f"{r.choice(WORDS)}{r.randint(0, 99)}" for _ in range(150)]
+    texts = [" ".join([*passage, *(f"t{i}x{k}" for k in range(r.randint(10, 60)))]) for i in range(40)]
+    chain = [f"c{k}" for k in range(150)]
+    for i in range(30):  # each a few words off the one before: only neighbours are similar
+        chain = chain[:]
+        chain[r.randrange(150)] = f"d{i}"
+        texts.append(" ".join(chain))
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    up = list(range(len(own)))
+    alike = [(i, j) for j in range(len(own)) for i in range(j) if len(own[i] & own[j]) * 5 >= 4 * len(own[i] | own[j])]
+    for i, j in alike * 3:
+        up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(similar.near_duplicates(df).collect()) == dict(enumerate(up)) and len(set(up)) > 2
+
+
+def test_sketch():
+    """Sketches differ in as many places as four bits of two sets' minima."""
+    r = np.random.default_rng(4)
+    a = np.unique(r.integers(0, 2**64, 400, dtype=np.uint64))
+    b = np.unique(np.concatenate((a[:300], r.integers(0, 2**64, 100, dtype=np.uint64))))
+    x, y = (np.array([(int(v) * 0x9E3779B97F4A7C15 % 2**64) >> 60 for v in similar.minima(s)]) for s in (a, b))
+    p, q = (similar.sketch(similar.minima(s)) for s in (a, b))
+    got = [int(p[i // 16] >> np.uint64(i % 16 * 4)) & 15 for i in range(96)], [int(q[i // 16] >> np.uint64(i % 16 * 4)) & 15 for i in range(96)]
+    assert got[0] == x.tolist() and got[1] == y.tolist() and 10 < (x != y).sum() < 60
+
+
 def test_bpe(docs, none):
     enc = tokencount.encoder(None)
     want = [[r[0], (ids := enc.encode_ordinary(r[1] or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] for r in ROWS]

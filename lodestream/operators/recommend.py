@@ -20,7 +20,8 @@ def holdout_last(ratings: DataFrame) -> DataFrame:
 
 
 def last_n(ratings: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("item_id"))
+    """Each user's last ``n`` rows by time; ties: largest item, then best rating."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("item_id"), F.desc("rating"))
     return ratings.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 

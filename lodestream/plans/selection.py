@@ -33,7 +33,7 @@ def top_user_drawn(spark, d):
     return sample.exact(recommend.top_users(ratings(spark, d)), "user_id", 1)
 
 
-@query(f"WITH {_R} SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rn FROM r) WHERE rn <= 10 AND rating >= 4")
+@query(f"WITH {_R} SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC, rating DESC) AS rn FROM r) WHERE rn <= 10 AND rating >= 4")
 def recent_positives(spark, d):
     return recommend.recent_positives(ratings(spark, d), 10).select("user_id", "item_id")
 

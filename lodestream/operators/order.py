@@ -121,9 +121,9 @@ def running(df: DataFrame, value: str, tie: str, sums: dict[str, str], enough: i
     grid = F.array(*[F.lit(g) for g in sorted(set(df.agg(F.percentile_approx(v, probs, F.lit(ACCURACY))).first()[0] or []))]).cast("array<double>")
     place = F.when(v.isNull(), -1).otherwise(2 * F.size(F.filter(grid, lambda g: g < v)) + F.array_contains(grid, v).cast("int"))
     df = df.withColumn("__place", place)
-    ties = df.filter("__place % 2 <> 0").groupBy(F.col("__place").alias("__at")).agg(F.percentile_approx(t, probs, F.lit(ACCURACY)).alias("__ties"))
-    df = df.join(F.broadcast(cut(ties, "ties")), F.col("__place") == F.col("__at"), "left")
-    df = df.withColumn("__sub", F.when(F.col("__ties").isNull() | t.isNull(), 0).otherwise(F.size(F.filter("__ties", lambda g: g < t)))).drop("__at", "__ties")
+    ties = df.filter("__place % 2 <> 0").groupBy("__place").agg(F.percentile_approx(t, probs, F.lit(ACCURACY)).alias("__ties"))
+    df = df.join(F.broadcast(cut(ties, "ties")), "__place", "left")
+    df = df.withColumn("__sub", F.when(F.col("__ties").isNull() | t.isNull(), 0).otherwise(F.size(F.filter("__ties", lambda g: g < t)))).drop("__ties")
     before = Window.orderBy("__place", "__sub").rowsBetween(Window.unboundedPreceding, -1)
     parts = df.groupBy("__place", "__sub").agg(*[F.sum(F.expr(e)).alias(f"__s_{c}") for c, e in sums.items()])
     starts = parts.select(F.col("__place").alias("__pl"), F.col("__sub").alias("__su"), *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__s_{c}") for c in sums])
@@ -133,7 +133,7 @@ def running(df: DataFrame, value: str, tie: str, sums: dict[str, str], enough: i
     return out.drop("__place", "__sub", "__pl", "__su", *[f"__s_{c}" for c in sums])
 
 
-def indexed(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+def indexed(df: DataFrame, key: str, name: str = "idx", enough: int = ENOUGH) -> DataFrame:
     """``df`` with the position of its distinct ``key`` in ascending order, from 0, without ordering all rows in one task."""
     rows = cut(df.withColumn("__at", F.col(key).cast("double")), "keys")
-    return running(rows, "__at", key, {name: "1L"}).withColumn(name, F.col(name) - 1).drop("__at")
+    return running(rows, "__at", key, {name: "1L"}, enough).withColumn(name, F.col(name) - 1).drop("__at")

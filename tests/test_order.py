@@ -51,6 +51,13 @@ def test_running(spark):
     assert order.running(some.limit(0), "x", "i", {"r": "1"}).count() == 0
 
 
+def test_indexed_beyond_one_window(spark):
+    keys = np.random.default_rng(8).permutation(5000) * 3
+    df = spark.createDataFrame(pd.DataFrame({"item_id": keys, "place": keys % 5}))
+    got = order.indexed(df, "item_id", enough=100).toPandas().sort_values("item_id")
+    assert list(got.columns) == ["item_id", "place", "idx"] and (got["idx"].to_numpy() == np.arange(5000)).all() and (got["item_id"].to_numpy() == np.arange(5000) * 3).all()
+
+
 def test_value_ranks_and_first_row(spark):
     s = spark.createDataFrame([(0.9, 1), (0.9, 0), (0.5, 1), (0.1, 0)], "score double, truth int")
     assert {r.s: (r.n_above, r.pos_above) for r in evaluate.value_ranks(s, "score", "truth").collect()} == {0.9: (2, 1), 0.5: (3, 2), 0.1: (4, 2)}

@@ -161,7 +161,8 @@ def _matched(df: DataFrame, key: str, column: str, k: int) -> DataFrame:
         pick = np.concatenate([rise[np.minimum(up, m - 1)], fall[np.minimum(down, m - 1)]], 1)
         off = np.where(np.concatenate([up, down], 1) < m, np.abs(x[pick] - q[:, None]), np.inf)
         best = np.take_along_axis(pick, np.lexsort((v[pick], h[pick], off), axis=-1)[:, : min(k, m)], 1)
-        return pd.DataFrame({"__g": q, "__v": list(v[best])})
+        # a range where nothing is asked for would have its empty lists taken for numbers
+        return pd.DataFrame({"__g": q, "__v": pd.Series(list(v[best]), dtype=object)})
 
     miss = df.filter(f"__m_{column}")
     asked = miss.select(F.col("__g").alias("x")).distinct().withColumn("p", part("x"))

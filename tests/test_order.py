@@ -102,6 +102,14 @@ def test_every_donor_counts(spark, monkeypatch):
     assert len(got) == n and all(abs(v - 2 * k) == 2 for k, v in got.items() if k % 3 == 0 and k)
 
 
+def test_matched_with_ranges_that_nothing_asks_for(spark, monkeypatch):
+    monkeypatch.setattr(impute, "RANGE", 500)
+    df = spark.range(4000).select(F.col("id").alias("k"), F.when((F.col("id") % 3 > 0) | (F.col("id") > 1000), F.col("id") * 2.0).alias("v"))
+    pred = df.withColumns({"__m_v": F.col("v").isNull(), "__g": F.col("k").cast("double")})
+    got = {r.k: r.v for r in impute._matched(pred, "k", "v", 2).collect()}
+    assert len(got) == 4000 and all(abs(v - 2 * k) == (2 if k % 3 == 0 and 0 < k <= 1000 else 0) for k, v in got.items() if k)
+
+
 def test_als_query_trains_whole_model(monkeypatch):
     import inspect
 

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, unit
+from ..session import cut
 from .order import quantiles
 
+FEW_BLOCKS = 16
+
 
 def positives(ratings: DataFrame, least: int = 4) -> DataFrame:
     return ratings.filter(F.col("rating") >= least)
@@ -47,67 +50,77 @@ def cold_user(users: DataFrame, ratings: DataFrame) -> DataFrame:
     return users.join(ratings.select("user_id"), "user_id", "left_anti").agg(F.min("user_id").alias("user_id"))
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 1024, at_once: int = 4096) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, block: int = 1024, at_once: int = 4096) -> DataFrame:
     """For each query (query_id, vector) the ``k`` items (item_id, vector) of largest inner product; ties: smaller id.
 
-    Queries are a stated set and go out in blocks of ``at_once``, each with a scan of the items: a task
-    multiplies a block of items with the queries and keeps its ``k`` best of each, which are then merged.
+    Items in ``seen`` (query_id, item_id) are left out for that query. Blocks of ``block`` queries meet blocks of ``at_once`` items in
+    the executors: a task multiplies two blocks and keeps the ``k`` best of each query, which are merged where there are several blocks of items.
+    The driver gets neither.
     """
     import numpy as np
     import pandas as pd
 
-    spark = items.sparkSession
-    qs = queries.select("query_id", "vector")
-    total = qs.count()
-    parts, blocks = [], max(1, -(-total // at_once))
-    for b in range(blocks):
-        own = (qs if blocks == 1 else qs.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
-        if not own:
-            continue
-        held = spark.sparkContext.broadcast(([r.query_id for r in own], np.array([r.vector for r in own], np.float64)))
-
-        def run(batches, held=held):
-            names, q = held.value
-            ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+    def packed(size: int):
+        """Blocks of up to ``size`` rows: ids, vectors, and the seen ids with the places of those who saw them."""
+
+        def run(batches):
             for pdf in batches:
-                for at in range(0, len(pdf), block):
-                    part = pdf.iloc[at : at + block]
-                    s = q @ np.stack(part["vector"].to_numpy()).astype(np.float64).T
-                    scores = np.concatenate((scores, s), 1)
-                    ids = np.concatenate((ids, np.broadcast_to(part["item_id"].to_numpy(np.int64), s.shape)), 1)
-                    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-            n = scores.shape[1]
-            if n:
-                yield pd.DataFrame({"query_id": np.repeat(np.array(names), n), "item_id": ids.ravel(), "score": scores.ravel()})
-
-        parts.append(items.select(F.col("item_id").cast("long"), "vector").mapInPandas(run, "query_id long, item_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, item_id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                for at in range(0, len(pdf), size):
+                    part = pdf.iloc[at : at + size]
+                    lists = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in part["seen"]]
+                    cells = {"id": part["id"].to_numpy(np.int64), "x": np.stack(part["vector"].to_numpy()).astype(np.float64), "who": np.repeat(np.arange(len(part)), [len(x) for x in lists]), "saw": np.concatenate(lists)}
+                    yield pd.DataFrame({name: [x.tobytes()] for name, x in cells.items()})
+
+        return run
+
+    def meet(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                names, ids, who, saw = (np.frombuffer(x, np.int64) for x in (row.id, row.item, row.who, row.saw))
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], np.frombuffer(row.v).reshape(len(ids), -1)[order]
+                s = np.frombuffer(row.x).reshape(len(names), -1) @ v.T
+                lo, hi = np.searchsorted(ids, saw), np.searchsorted(ids, saw, side="right")
+                for off in range(int((hi - lo).max(initial=0))):
+                    hit = lo + off < hi
+                    s[who[hit], lo[hit] + off] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(names), -np.inf)
+                q, i = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                order = np.lexsort((i, -s[q, i], q))
+                q, i = q[order], i[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, i = q[first], i[first]
+                yield pd.DataFrame({"query_id": names[q], "item_id": ids[i], "score": s[q, i]})
+
+    qs = queries.select("query_id", "vector")
+    if seen is None:
+        qs = qs.withColumn("seen", F.lit(None).cast("array<long>"))
+    else:
+        lists = seen.groupBy("query_id").agg(F.collect_set(F.col("item_id").cast("long")).alias("seen"))
+        qs = qs.join(lists, "query_id", "left")
+    blocks = "id binary, x binary, who binary, saw binary"
+    left = cut(qs.select(F.col("query_id").cast("long").alias("id"), "vector", "seen").mapInPandas(packed(block), blocks), "queries")
+    none = F.lit(None).cast("array<long>").alias("seen")
+    right = cut(items.select(F.col("item_id").cast("long").alias("id"), "vector", none).mapInPandas(packed(at_once), blocks).select(F.col("id").alias("item"), F.col("x").alias("v")), "items")
+    # a block of 64 places is 2 MB: few are sent to all, more are dealt out
+    met = left.crossJoin(F.broadcast(right) if right.count() <= FEW_BLOCKS else right)
+    out = met.mapInPandas(meet, "query_id long, item_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def profiles(history: DataFrame, items: DataFrame) -> DataFrame:
     """Mean unit vector of the items in each user's history."""
-    return mean_vectors(history.select("user_id", "item_id").join(items, "item_id").withColumn("u", unit(F.col("vector"))), "user_id", "u")
-
+    units = cut(items.select("item_id", unit(F.col("vector")).alias("u")), "units")
+    return mean_vectors(history.select("user_id", "item_id").join(units, "item_id"), "user_id", "u")
 
-def content_recommend(users: DataFrame, history: DataFrame, items: DataFrame, seen: DataFrame, ratings: DataFrame, k: int = 5, spare: int = 50) -> DataFrame:
-    """``k`` unseen items per user by cosine to the profile; users without history get the popular items.
 
-    Searches ``k`` + ``spare`` items, then the rest of the list for users whose seen items used these up.
-    """
-    prof = profiles(history.join(users.select("user_id"), "user_id", "left_semi"), items)
+def content_recommend(users: DataFrame, history: DataFrame, items: DataFrame, seen: DataFrame, ratings: DataFrame, k: int = 5) -> DataFrame:
+    """``k`` unseen items per user by cosine to the profile; users without history get the popular items."""
+    prof = cut(profiles(history.join(users.select("user_id"), "user_id", "left_semi"), items), "profiles")
     unit_items = items.select("item_id", unit(F.col("vector")).alias("vector"))
-    most = seen.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    found = vector_topk(prof.select(F.col("user_id").alias("query_id"), F.col("profile").alias("vector")), unit_items, k + max(spare, most))
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    fresh = found.select(F.col("query_id").alias("user_id"), "item_id", "score").join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    fresh = fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    asked = prof.select(F.col("user_id").alias("query_id"), F.col("profile").alias("vector"))
+    fresh = vector_topk(asked, unit_items, k, seen.select(F.col("user_id").alias("query_id"), "item_id")).withColumnRenamed("query_id", "user_id")
     cold = users.select("user_id").join(prof.select("user_id"), "user_id", "left_anti")
     top = popular(ratings, k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")))
     return fresh.withColumn("source", F.lit("content")).unionByName(cold.join(F.broadcast(top), F.lit(True)).select("user_id", "item_id", F.col("n").cast("double").alias("score"), "rank", F.lit("popular").alias("source")))

@@ -88,14 +88,14 @@ def _history(spark, d):
 
 @query()
 def content_recommend(spark, d):
-    h = _history(spark, d)
+    h = cut(_history(spark, d), "history")
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     return recommend.content_recommend(users, h, _items(spark, d), h, ratings(spark, d), 5)
 
 
 @query()
 def recall_ndcg(spark, d):
-    held = recommend.holdout_last(_history(spark, d))
+    held = cut(recommend.holdout_last(_history(spark, d)), "held")
     train, truth = held.filter("not held"), held.filter("held")
     recs = recommend.content_recommend(train.select("user_id").distinct(), train, _items(spark, d), train, ratings(spark, d), 10)
     return evaluate.recall_ndcg(recs, truth, 10)

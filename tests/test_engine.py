@@ -179,6 +179,33 @@ def test_topk(spark):
     assert [r.item_id for r in recommend.vector_topk(q, items, 4).orderBy("rank").collect()] == [2, 5, 8, 1]
 
 
+def test_search_leaves_queries_in_executors(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(9)
+    x, q = rng.integers(-3, 4, (300, 8)).astype(float), rng.integers(-3, 4, (70, 8)).astype(float)
+    seen = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 70, 900), rng.integers(0, 300, 900))} | {(3, i) for i in range(298)})
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>")
+    table = spark.createDataFrame(seen, "query_id long, item_id long")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("rows went to the driver"))
+        got = recommend.vector_topk(queries, items, 5, table, block=16, at_once=40)
+    score = q @ x.T
+    score[tuple(zip(*seen))] = -np.inf
+    want = {(a, r + 1): int(i) for a in range(70) for r, i in enumerate(np.lexsort((np.arange(300), -score[a]))[:5]) if score[a, i] > -np.inf}
+    assert {(r.query_id, r["rank"]): r.item_id for r in got.collect()} == want and sum(a == 3 for a, _ in want) == 2
+
+
+def test_mean_vectors_of_any_length(spark):
+    from lodestream.functions.vectors import mean_vectors
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0]), (2, [5.0, None, 7.0]), (3, []), (4, None)], "k int, v array<double>")
+    for wide in (128, 1):
+        assert {r.k: r.profile for r in mean_vectors(df, "k", "v", wide).collect()} == {1: [2.0, 2.0], 2: [5.0, None, 7.0]}
+
+
 def test_streaming_is_idempotent(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     df = spark.createDataFrame([(dt.datetime(2026, 1, 1, 5), 1, "view"), (dt.datetime(2026, 1, 1, 6), 1, "view"), (dt.datetime(2026, 1, 1, 6), None, "view")], "ts timestamp, user_id long, event_type string")

@@ -124,6 +124,23 @@ def test_als_query_trains_whole_model(monkeypatch):
     assert (used[0].arguments["factors"], used[0].arguments["iterations"]) == (64, 20)
 
 
+def test_als_checkpoints_and_lists_only_unseen(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS, ALSModel
+
+    from lodestream.operators import recommend
+
+    rng = np.random.default_rng(10)
+    rows = {(int(u), int(i)) for u, i in zip(rng.integers(0, 60, 900), rng.integers(0, 60, 900)) if u % 3 == i % 3}
+    ratings = spark.createDataFrame([(u, i, 5) for u, i in sorted(rows)], "user_id long, item_id long, rating int")
+    fit, used = ALS.fit, []
+    monkeypatch.setattr(ALS, "fit", lambda self, df: used.append(self) or fit(self, df))
+    monkeypatch.setattr(ALSModel, "recommendForAllUsers", lambda *a: pytest.fail("lists that grow with the longest history"))
+    got = recommend.als_recommend(ratings, 3, factors=4, iterations=5).collect()
+    assert used[0].getCheckpointInterval() == 1 and spark.sparkContext.getCheckpointDir()
+    assert len(got) == 180 and {r["rank"] for r in got} == {1, 2, 3} and not {(r.user_id, r.item_id) for r in got} & rows
+    assert sum(r.user_id % 3 == r.item_id % 3 for r in got) > 150
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(d,) for d in range(10)], "day int")
     got = {(r.fold, r.part): sorted(r.d) for r in models.expanding_folds(df, "day", 4).groupBy("fold", "part").agg(F.collect_list("day").alias("d")).collect()}

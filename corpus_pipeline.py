@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, decontam, dedup, langid, similar
+from lodestream.llm import bpe, decontam, dedup, langid, similar, simhash
 from lodestream.llm.common import cut, scratch, work_dir
 
 FEW = 1_000_000
@@ -53,9 +53,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, of the smallest doc_id (null last), of each group of near duplicates (five-word shingles, Jaccard similarity of at least 0.8)."""
+    """Keeps one row, of the smallest doc_id (null last), of each group of near duplicates.
+
+    Texts are linked by operator 5 (SimHash fingerprints of three bits' difference at most, found by vantage-point trees); as that misses most edited
+    copies, texts with a Jaccard similarity of 0.8 or more of their five-word shingles are linked as well.
+    """
     docs, number = _numbered(docs)
-    return _kept(docs, number, similar.near_duplicates(docs, row=number))
+    return _kept(docs, number, similar.near_duplicates(docs, row=number, radius=simhash.RADIUS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

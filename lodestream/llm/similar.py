@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FEW, cut, few, join_groups, slices
-from .simhash import components
+from .simhash import components, fingerprint
+from .simhash import links as by_prints
 
 WIDTH, ALIKE = 5, (4, 5)
 BANDS, ROWS = 24, 4
@@ -84,8 +85,8 @@ def unlike(p: str, q: str) -> Column:
     return out
 
 
-def nodes(docs: DataFrame, doc_id: str, text: str, row: str | None = None) -> DataFrame:
-    """id, row (0 without such a column), node (name of the shingle set), n (its size), h (hash of the text), the buckets and the sketch of each row."""
+def nodes(docs: DataFrame, doc_id: str, text: str, row: str | None = None, prints: bool = False) -> DataFrame:
+    """id, row (0 without such a column), node (name of the shingle set), n (its size), h (hash of the text), the buckets, the sketch and, where ``prints``, the SimHash fingerprint (else 0) of each row."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +97,13 @@ def nodes(docs: DataFrame, doc_id: str, text: str, row: str | None = None) -> Da
             ends = np.arange(len(own) + 1, dtype=np.int32)
             keys, marks = (np.array([of(x).view(np.int64) for x in least]).reshape(-1) for of in (bands, sketch))
             lists = [pa.ListArray.from_arrays(ends * BANDS, keys), pa.ListArray.from_arrays(ends * _SKETCH, marks)]
-            columns = [b["id"], b["row"], pa.array(name), pa.array([len(x) for x in own], pa.int64()), b["h"], *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "node", "n", "h", "bands", "sketch"])
+            fps = np.array([fingerprint(x.as_py()) if prints else 0 for x in b["text"]], np.uint64).view(np.int64)
+            columns = [b["id"], b["row"], pa.array(name), pa.array([len(x) for x in own], pa.int64()), b["h"], *lists, pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "node", "n", "h", "bands", "sketch", "fp"])
 
     number = F.col(row).cast("long") if row else F.lit(0).cast("long")
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), number.alias("row"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, row long, node long, n long, h long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(doc_id).alias("id"), number.alias("row"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, row long, node long, n long, h long, bands array<long>, sketch array<long>, fp long")
 
 
 def sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -254,12 +256,27 @@ def links(docs: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
     return found.unionByName(met(left, have))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, component_id (smallest id reachable); with ``row``, a column of distinct whole numbers, also that and kept."""
-    rows = cut(nodes(docs, doc_id, text, row), "nodes")
+def printed(rows: DataFrame, radius: int) -> DataFrame:
+    """Links u, v that put nodes of ``rows`` (node, fp) in one group where SimHash's vantage-point trees link their fingerprints (operator 5)."""
+    pairs = cut(rows.select("node", "fp").distinct(), "prints")
+    roots = cut(components(by_prints(cut(pairs.select("fp").distinct(), "fps"), radius)), "roots")
+    named = cut(pairs.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root")).distinct(), "named")
+    hubs = named.groupBy("root").agg(F.count("*").alias("size"), F.min("node").alias("v")).filter("size > 1")
+    return join_groups(named, hubs, "root", "size").select(F.col("node").alias("u"), "v").filter("u <> v")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, radius: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (smallest id reachable); with ``row``, a column of distinct whole numbers, also that and kept.
+
+    With ``radius``, texts whose SimHash fingerprints differ in that many bits at most are linked too, and groups are closed over both kinds of links.
+    """
+    rows = cut(nodes(docs, doc_id, text, row, radius is not None), "nodes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     distinct = cut(rows.groupBy("node").agg(first, F.count("*").alias("size"), F.min("h").alias("h"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "distinct")
-    roots = cut(components(links(docs, distinct, text)), "roots")
+    found = links(docs, distinct, text)
+    if radius is not None:
+        found = found.unionByName(printed(rows, radius))
+    roots = cut(components(found), "roots")
     named = distinct.join(roots, distinct["node"] == roots["u"], "left").select("node", "first", "size", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("first"))
     groups = cut(named.select("node", "size", "root").join(ids, "root").select("node", "size", "first"), "groups")

@@ -569,6 +569,19 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
 
 
+def test_pipeline_near_links_by_fingerprints(spark):
+    """What operator 5 links is one group, also where shingle sets differ; what sets link stays one group, and both are closed together."""
+    import corpus_pipeline
+
+    base, words = "one two three four five " * 100, " ".join(f"w{i}" for i in range(200))
+    texts = [base + "alpha beta gamma delta", base + "red green blue black", words, words + " x1", "quite another text of some words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()}
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sets[1] == 1 and prints[1] == 0 and sets[3] == 2
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()) == [0, 2, 4]
+
+
 def test_pipeline_shuffles_where_many_rows_go(spark, docs, monkeypatch):
     import corpus_pipeline
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 BLOCK_CHARS = 2_000_000
 HELD = 400_000
@@ -262,9 +262,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             if keys:
                 yield block(c, keys, texts)
         finally:
+            c.raw.clear()  # tasks share few chunks that are dear, and a worker that waits would keep them
             gc.enable()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = "__id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    got = docs.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    got = docs.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).alias("__text")).mapInArrow(tidy(run), schema)
     return got.select(F.col("__id").cast(kind).alias(doc_id), *got.columns[1:])

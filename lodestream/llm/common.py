@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, delete, scratch, shared_dir, table, work_dir
 
-__all__ = ["FEW", "cut", "delete", "few", "join_groups", "remainder", "scratch", "shared_dir", "shuffle_width", "slices", "table", "work_dir"]
+__all__ = ["FEW", "cut", "delete", "few", "give_back", "join_groups", "remainder", "scratch", "shared_dir", "shuffle_width", "slices", "table", "tidy", "work_dir"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -49,3 +50,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine: a worker outlives its task, and what it keeps counts against the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of batches, that gives memory back at the end of its task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole

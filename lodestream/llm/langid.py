@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 UNDETERMINED = "und"
 PLACES = 400
@@ -145,7 +145,7 @@ def train(rows: DataFrame, size: int = PLACES) -> Profiles:
     best = (
         rows.select("lang", "text")
         .filter("lang is not null and text is not null")
-        .mapInPandas(count, "lang string, code long, n long")
+        .mapInPandas(tidy(count), "lang string, code long, n long")
         .groupBy("lang", "code")
         .agg(F.sum("n").alias("n"))
         .withColumn("place", F.row_number().over(top))
@@ -167,7 +167,7 @@ def predict(rows: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b[k] for k in keep] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.select(*keep, "text").mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def accept(rows: DataFrame, profiles: Profiles, languages: set[str] | None = None, most: float = 1.0) -> DataFrame:
@@ -185,4 +185,4 @@ def accept(rows: DataFrame, profiles: Profiles, languages: set[str] | None = Non
             fits = [d is not None and d.min() <= most and (languages is None or held.value.langs[int(np.argmin(d))] in languages) for d in got]
             yield b.filter(pa.array(fits, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)

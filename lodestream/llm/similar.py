@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, few, join_groups, slices
+from .common import FEW, cut, few, join_groups, slices, tidy
 from .simhash import components, fingerprint
 from .simhash import links as by_prints
 
@@ -103,7 +103,7 @@ def nodes(docs: DataFrame, doc_id: str, text: str, row: str | None = None, print
 
     number = F.col(row).cast("long") if row else F.lit(0).cast("long")
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), number.alias("row"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, row long, node long, n long, h long, bands array<long>, sketch array<long>, fp long")
+    return docs.select(F.col(doc_id).alias("id"), number.alias("row"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(tidy(run), f"id {kind}, row long, node long, n long, h long, bands array<long>, sketch array<long>, fp long")
 
 
 def sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             values = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(h[use]), pa.ListArray.from_arrays(ends, values)], names=["node", "h", "own"])
 
-    return docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, "node long, h long, own array<long>")
+    return docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(tidy(run), "node long, h long, own array<long>")
 
 
 def verified(pairs: DataFrame, have: DataFrame) -> DataFrame:

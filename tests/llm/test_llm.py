@@ -569,6 +569,18 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
 
 
+def test_workers_keep_no_chunks(spark, docs):
+    import pandas as pd
+
+    bpe.encode(docs.repartition(4)).collect()
+
+    def kept(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(bpe.codec(None, None).raw)] * len(b)})
+
+    assert {r.n for r in spark.range(0, 16, 1, 8).mapInPandas(kept, "n long").collect()} == {0}
+
+
 def test_pipeline_near_links_by_fingerprints(spark):
     """What operator 5 links is one group, also where shingle sets differ; what sets link stays one group, and both are closed together."""
     import corpus_pipeline

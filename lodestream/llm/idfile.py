@@ -20,6 +20,7 @@ first; an empty table gives no rows; further columns are ignored. Ids are intege
 from __future__ import annotations
 
 import gc
+import itertools
 import json
 import os
 import struct
@@ -169,26 +170,32 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         plain, found, rest = [], [], []
         for c in new:
-            if c.isascii() and c.isalpha() and c.islower():
-                plain.append(c)
-                found.append([c])
-            elif c and max(c) < "\u0250" and c == c.lower() and "<|" not in c and unicodedata.is_normalized("NFC", c):
+            if c.isascii():
+                if c.isalpha() and c.islower():
+                    plain.append(c)
+                    found.append([c])
+                elif c and c == c.lower() and "<|" not in c:
+                    plain.append(c)
+                    found.append(self.words(c))
+                else:
+                    rest.append(c)
+            elif max(c) < "\u0250" and c == c.lower() and "<|" not in c and unicodedata.is_normalized("NFC", c):
                 plain.append(c)
                 found.append(self.words(c))
             else:
                 rest.append(c)
-        words = list(dict.fromkeys(w for f in found for w in f))
+        words = list(dict.fromkeys(itertools.chain.from_iterable(found)))
         of: dict[str, bytes] = {}
         for at in range(0, len(words), 200):
             part = words[at : at + 200]
-            ids = np.array(self.model.encode(" ".join(map(self._show, part)), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(map(self._show, part))], add_special_tokens=False)[0].ids, "<u4")
             ends = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             of.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
         self.known.update(zip(plain, [of[f[0]] if len(f) == 1 else b"".join([of[w] for w in f]) for f in found]))
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
-            for w, e in zip(part, self.t.encode_batch(part, add_special_tokens=False)):
+            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -198,8 +205,8 @@ class Encoder:
         todo = set().union(*cut)
         new = list(todo.difference(self.known))
         if len(self.known) + len(new) > self.held:
-            self.known.clear()
-            new = list(todo)
+            # the pieces that are met again stay
+            self.known = {c: self.known[c] for c in todo.intersection(self.known)}
         if new:
             self._learn(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]

@@ -458,6 +458,17 @@ def test_file_encoder_matches_library():
     assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_file_encoder_keeps_pieces_met_again():
+    import public_tokenizers
+
+    e, learned = idfile.Encoder(public_tokenizers.path("word_bpe_49k.json"), 4), []
+    learn = e._learn
+    e._learn = lambda new: (learned.extend(new), learn(new))
+    whole = idfile.encoder(None).encode(["one two three", "one two four five"])
+    got = e.encode(["one two three"]) + e.encode(["one two four five"])
+    assert [x.tolist() for x in got] == [x.tolist() for x in whole] and sorted(learned) == ["five", "four", "one", "three", "two"]
+
+
 def test_cuckoo_index():
     index, live, r = dedup.CuckooIndex(4), {}, random.Random(6)
     for i in range(6000):

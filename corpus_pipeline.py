@@ -8,6 +8,8 @@ Both dedup stages write their documents once with a row number, so that what sta
 null or not, one of each group stays. Where few rows go (``FEW``), their numbers are broadcast and no text is
 shuffled; beyond that, texts and numbers are joined by shuffle.
 
+Every stage begins by having the executors give their free heap back, for the near stage fills it and the workers of later ones need the memory.
+
 Defined cases: null and blank texts have no letters and go in the first stage; rows without an id pass like others; repeated
 rows are exact copies; an empty table stays empty through all stages; an empty benchmark drops nothing; texts of any length
 are read whole by every stage.
@@ -15,15 +17,30 @@ are read whole by every stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, decontam, dedup, langid, similar, simhash
-from lodestream.llm.common import cut, scratch, work_dir
+from lodestream.llm.common import cut, give_back_heaps, scratch, work_dir
 
 FEW = 1_000_000
 
 
+def rested(stage: Callable) -> Callable:
+    """``stage``, begun once the executors have given back what earlier stages left in their heaps."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@rested
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be determined (no letters; null and empty texts); profiles are learned from the stage's own input.
 
@@ -46,12 +63,14 @@ def _kept(docs: DataFrame, number: str, found: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, number, "left_anti").drop(number)
 
 
+@rested
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts: the longest original, then the smallest doc_id (null last), then the first row."""
     docs, number = _numbered(docs)
     return _kept(docs, number, dedup.exact_duplicates(docs, row=number))
 
 
+@rested
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, of the smallest doc_id (null last), of each group of near duplicates.
 
@@ -62,11 +81,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, number, similar.near_duplicates(docs, row=number, radius=simhash.RADIUS))
 
 
+@rested
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item occurs; null texts match nothing and stay."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@rested
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each document (null: none), with the digests of ids and decoded bytes."""
     return bpe.encode(docs)

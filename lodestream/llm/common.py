@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, delete, scratch, shared_dir, table, work_dir
 
-__all__ = ["FEW", "cut", "delete", "few", "give_back", "join_groups", "remainder", "scratch", "shared_dir", "shuffle_width", "slices", "table", "tidy", "work_dir"]
+__all__ = ["FEW", "cut", "delete", "few", "give_back", "give_back_heaps", "join_groups", "remainder", "scratch", "shared_dir", "shuffle_width", "slices", "table", "tidy", "work_dir"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -61,6 +61,16 @@ def give_back() -> None:
         pass
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their garbage and hand the free heap back to the machine.
+
+    A heap that has grown keeps its size, and Spark collects none by itself, so the garbage of one stage counts against the workers of the next.
+    As many tasks as there are cores start at once, so each executor gets some.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, a function of batches, that gives memory back at the end of its task."""
 

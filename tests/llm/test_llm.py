@@ -592,6 +592,19 @@ def test_workers_keep_no_chunks(spark, docs):
     assert {r.n for r in spark.range(0, 16, 1, 8).mapInPandas(kept, "n long").collect()} == {0}
 
 
+def test_pipeline_stages_begin_with_heaps_given_back(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("b", "no such item")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    # the driver is the executor here; only whole collections, which shrink a heap, count as the old generation's
+    whole = next(x for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole.getCollectionCount()
+        stage(spark, docs, str(tmp_path))
+        assert whole.getCollectionCount() > before, name
+
+
 def test_pipeline_near_links_by_fingerprints(spark):
     """What operator 5 links is one group, also where shingle sets differ; what sets link stays one group, and both are closed together."""
     import corpus_pipeline

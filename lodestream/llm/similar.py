@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, few, join_groups, slices, tidy
+from .common import FEW, cut, few, give_back_heaps, join_groups, slices, tidy
 from .simhash import components, fingerprint
 from .simhash import links as by_prints
 
@@ -236,6 +236,7 @@ def links(docs: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
     members = cut(join_groups(full.drop("size"), leads, "key", "size"), "members")
     have = sets(docs, text, members)
     have = cut(have.join(members.groupBy("node").agg(F.min("h").alias("h")), ["node", "h"], "left_semi").dropDuplicates(["node"]), "sets")
+    give_back_heaps(docs.sparkSession)
 
     first = members.select(F.explode("leads").alias("lead"), F.col("node").alias("b"), "n").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("m"), "b", "n")
     first = cut(first.filter((F.col("a") != F.col("b")) & fits()).select("a", "b").distinct(), "pairs")
@@ -246,6 +247,7 @@ def links(docs: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
     found = cut(verified(first, have), "verified")
     done = first
     left = apart(members, marks, found)
+    give_back_heaps(docs.sparkSession)
     for turn in range(TURNS):
         more = cut(tries(left, turn).join(both_ways(done), ["a", "b"], "left_anti"), "pairs")
         new = cut(verified(more, have), "verified")
@@ -273,9 +275,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = cut(nodes(docs, doc_id, text, row, radius is not None), "nodes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     distinct = cut(rows.groupBy("node").agg(first, F.count("*").alias("size"), F.min("h").alias("h"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "distinct")
+    give_back_heaps(docs.sparkSession)  # here and between the steps below: each fills the heaps anew
     found = links(docs, distinct, text)
     if radius is not None:
         found = found.unionByName(printed(rows, radius))
+    found = cut(found, "found")
+    give_back_heaps(docs.sparkSession)
     roots = cut(components(found), "roots")
     named = distinct.join(roots, distinct["node"] == roots["u"], "left").select("node", "first", "size", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("first"))

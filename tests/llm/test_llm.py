@@ -592,6 +592,13 @@ def test_workers_keep_no_chunks(spark, docs):
     assert {r.n for r in spark.range(0, 16, 1, 8).mapInPandas(kept, "n long").collect()} == {0}
 
 
+def test_similar_gives_heaps_back_between_steps(spark, docs, monkeypatch):
+    calls = []
+    monkeypatch.setattr(similar, "give_back_heaps", calls.append)
+    similar.near_duplicates(docs, radius=simhash.RADIUS)
+    assert calls == [spark] * 4
+
+
 def test_pipeline_stages_begin_with_heaps_given_back(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -196,6 +196,14 @@ def meet(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
 
+def facing(rows: DataFrame) -> DataFrame:
+    """node, block (its own) and the distinct blocks (others) that it is compared with, over all buckets of the written ``rows`` (key, node, block, outside, size); one row a node, however many buckets name a block."""
+    blocks = [F.sort_array(F.collect_set(F.when(F.col("outside") == x, F.col("block")))).alias(name) for x, name in ((True, "others"), (False, "inner"))]
+    blocks = rows.groupBy("key").agg(F.any_value("size").alias("size"), *blocks)
+    own = F.when(F.col("outside"), F.concat("others", "inner")).otherwise(F.col("others"))
+    return join_groups(rows.select("key", "node", "block", "outside"), blocks, "key", "size").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set(own))).alias("others"))
+
+
 def met(left: DataFrame, have: DataFrame) -> DataFrame:
     """All links between different components of a bucket of ``left``.
 
@@ -209,10 +217,7 @@ def met(left: DataFrame, have: DataFrame) -> DataFrame:
     home = cut(home.select("node", "outside", F.xxhash64("home", "outside").alias("block")), "home")
     home = join_groups(home, whole, "block", "k").select("node", "outside", F.xxhash64("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks")).alias("block"))
     rows = cut(left.select("key", "node", "root", "n", "sketch", "size").join(home, "node"), "blocks")
-    blocks = [F.collect_set(F.when(F.col("outside") == x, F.col("block"))).alias(name) for x, name in ((True, "others"), (False, "inner"))]
-    blocks = rows.groupBy("key").agg(F.any_value("size").alias("size"), *blocks)
-    facing = F.when(F.col("outside"), F.concat("others", "inner")).otherwise(F.col("others"))
-    cells = join_groups(rows.drop("size"), blocks, "key", "size").select("node", "block", F.explode(facing).alias("other")).distinct()
+    cells = facing(rows).select("node", "block", F.explode("others").alias("other"))
     cells = cells.select("node", "block", F.least("block", "other").alias("up"), F.greatest("block", "other").alias("down"))
     facts = rows.groupBy("node").agg(F.any_value("root").alias("root"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     cells = cells.join(facts.join(have.select("node", "own"), "node"), "node")

@@ -265,6 +265,15 @@ def test_similar_cells(spark, monkeypatch):
     assert dict(similar.near_duplicates(df).collect()) == dict(enumerate(up)) and len(set(up)) > 2
 
 
+def test_similar_cells_name_a_block_once(spark, tmp_path):
+    """Nodes that share four buckets: one row each with the blocks they meet, not one for each bucket and block."""
+    block, out = {1: 10, 2: 10, 3: 20, 4: 30}, {3, 4}
+    at = [(key, node, b, node in out, 4) for key in range(4) for node, b in block.items()] + [(9, 4, 30, True, 2), (9, 5, 40, True, 2)]
+    spark.createDataFrame(at, "key long, node long, block long, outside boolean, size long").write.parquet(str(tmp_path / "rows"))
+    got = [(r.node, r.block, sorted(r.others)) for r in similar.facing(spark.read.parquet(str(tmp_path / "rows"))).collect()]
+    assert sorted(got) == [(1, 10, [20, 30]), (2, 10, [20, 30]), (3, 20, [10, 20, 30]), (4, 30, [10, 20, 30, 40]), (5, 40, [30, 40])]
+
+
 def test_sketch():
     """Sketches differ in as many places as four bits of two sets' minima."""
     r = np.random.default_rng(4)

@@ -11,7 +11,7 @@ Documents are dealt out by ranges of their id; one task sorts its range, encodes
 temporary name which it then renames, so a repeated task replaces its own file. The driver gets one row per file.
 
 Encoding goes through the tokenizers library. White space is dropped by that vocabulary's rules and no
-token crosses it, so each task encodes a piece between white space once and keeps up to ``HELD`` of them.
+token crosses it, nor the border of two words, so each worker encodes a word once and keeps up to ``HELD`` of them, those met most often.
 
 Defined cases: null text counts as empty (its end id alone); documents of equal id follow one another in order of text, null ids come
 first; an empty table gives no rows; further columns are ignored. Ids are integers.
@@ -23,8 +23,8 @@ import gc
 import itertools
 import json
 import os
+import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,11 +32,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, work_dir
+from .common import shuffle_width, tidy, work_dir
 
 FRAME_IDS = 1 << 16
 END = 2
@@ -135,81 +137,141 @@ class Reader:
         return [self.ids(i) for i in range(a, b)]
 
 
+# kinds of bytes in UTF-8 once A-Z and white space are folded; ODD ones, and the pieces they stand in, are left to the library's whole chain
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = bytes(_SPACE if x == 32 else _LETTER if 97 <= x <= 122 else _DIGIT if 48 <= x <= 57 else _OTHER if 32 < x < 127 and x != 39 else _ODD for x in range(256))
+_WHITE = bytes.maketrans(b"\t\n\r", b"   ")
+_FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\r", bytes(range(97, 123)) + b"   ")
+
+
 class Encoder:
-    """The tokenizers library behind a bounded store of pieces between white space.
+    """The tokenizers library behind a bounded store of words.
 
-    A new piece of lower-case Latin text in composed form passes the vocabulary's normaliser unchanged, so
-    its words (by the vocabulary's own split pattern) go straight to the library's BPE model, each distinct
-    one once; a word's last id is the one with the end-of-word mark. Any other piece goes
-    through the library's whole chain.
+    In pieces between white space of ASCII (without apostrophes and names of special tokens) and the letters from U+00C0 to U+00FF, the vocabulary's
+    normaliser only folds case, and its split pattern gives runs of letters, single digits and runs of others: these words are cut for many texts at
+    once, by bytes, and go straight to the library's BPE model, each distinct one once; a word's last id is the one with the end-of-word mark. Any
+    other piece goes, unfolded, through the library's whole chain.
     """
 
     def __init__(self, path: str, held: int = HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.t, self.held = Tokenizer.from_file(path), held
-        self.known: dict[str, bytes] = {}
+        # a word's place in known is its number in ends (of its ids in pool) and met (blocks that it was met in)
+        self.known: dict[str, int] = {}
+        self.pool, self.ends, self.met = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
         with open(path) as f:
             spec = json.load(f)
-        steps = spec["pre_tokenizer"]["pretokenizers"]
         suffix = spec["model"]["end_of_word_suffix"]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.model = Tokenizer.from_file(path)
         self.model.normalizer, self.model.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.last[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
         # the model sees bytes as characters: printable Latin-1 as it is, the others from U+0100 on
         kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.shown = {x: 256 + n for n, x in enumerate(x for x in range(256) if x not in kept)}
-
-    def _show(self, word: str) -> str:
-        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.shown)
+        self.shown = {x: 256 + n for n, x in enumerate(x for x in range(256) if x not in kept) if x != 32}
+        self.odd = re.compile("['\x00-\x20\x7f]|<\\||[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
 
     def _learn(self, new: list[str]) -> None:
-        plain, found, rest = [], [], []
-        for c in new:
-            if c.isascii():
-                if c.isalpha() and c.islower():
-                    plain.append(c)
-                    found.append([c])
-                elif c and c == c.lower() and "<|" not in c:
-                    plain.append(c)
-                    found.append(self.words(c))
-                else:
-                    rest.append(c)
-            elif max(c) < "\u0250" and c == c.lower() and "<|" not in c and unicodedata.is_normalized("NFC", c):
-                plain.append(c)
-                found.append(self.words(c))
-            else:
-                rest.append(c)
-        words = list(dict.fromkeys(itertools.chain.from_iterable(found)))
-        of: dict[str, bytes] = {}
-        for at in range(0, len(words), 200):
-            part = words[at : at + 200]
-            ids = np.array(self.model.encode_batch_fast([" ".join(map(self._show, part))], add_special_tokens=False)[0].ids, "<u4")
-            ends = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
-            raw = ids.tobytes()
-            of.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
-        self.known.update(zip(plain, [of[f[0]] if len(f) == 1 else b"".join([of[w] for w in f]) for f in found]))
+        """Put words that aren't known behind those that are."""
+        plain, accented, rest = [], [], []
+        for w in new:
+            (plain if w.isascii() and w.isalpha() else rest if self.odd(w) else plain if w.isascii() else accented).append(w)
+        ids, counts = [], []
+        for words in (plain, accented):
+            for at in range(0, len(words), 200):
+                part = " ".join(words[at : at + 200])
+                shown = part if words is plain else part.encode().decode("latin-1").translate(self.shown)
+                ids.append(np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4"))
+                counts.append(np.diff(np.flatnonzero(self.last[ids[-1]]), prepend=-1))
+                if len(counts[-1]) != len(words[at : at + 200]):
+                    raise ValueError("a word's ids don't end with the end-of-word mark")
         for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            found = [e.ids for e in self.t.encode_batch_fast(rest[at : at + 20_000], add_special_tokens=False)]
+            ids.append(np.array(list(itertools.chain.from_iterable(found)), "<u4"))
+            counts.append(np.array([len(x) for x in found], np.int64))
+        self.known.update(zip(itertools.chain(plain, accented, rest), range(len(self.known), len(self.known) + len(new))))
+        self.pool = np.concatenate([self.pool, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+
+    def _ids(self) -> pa.LargeBinaryArray:
+        """Ids of all known words, as bytes."""
+        return pa.Array.from_buffers(pa.large_binary(), len(self.known), [None, pa.py_buffer(4 * self.ends), pa.py_buffer(self.pool)])
+
+    def _forget(self, now: list[int], new: int) -> None:
+        """Make room for ``new`` words: the words ``now`` stay, and the most often met of the others, up to half of what may be held."""
+        rank = self.met.copy()
+        rank[now] = np.iinfo(np.int32).max
+        keep = np.sort(np.argsort(-rank, kind="stable")[: max(len(now), min(self.held // 2, self.held - new))])
+        names, left = list(self.known), self._ids().take(pa.array(keep))
+        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.ends = np.frombuffer(left.buffers()[1], np.int64)[: len(keep) + 1] // 4
+        self.pool = np.frombuffer(left.buffers()[2] or b"", "<u4")[: self.ends[-1]].copy()
+        self.met = self.met[keep] // 2
+
+    @staticmethod
+    def _cut(raw: bytes) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Where each word of ``raw`` begins, and the words."""
+        plain = raw.translate(_FOLD)
+        folded, kind = np.frombuffer(bytearray(plain), "u1"), np.frombuffer(bytearray(plain.translate(_KIND)), "u1")
+        # two-byte letters: U+00C0 to U+00FF, but the signs of multiplication and division; capitals are 32 below
+        lead = np.flatnonzero(folded == 0xC3)
+        low = folded[lead + 1]
+        lead, low = lead[(low & 0x5F) != 0x17], low[(low & 0x5F) != 0x17]
+        big = low < 0x9F
+        folded[lead[big] + 1] = low[big] + 32
+        kind[lead] = kind[lead + 1] = _LETTER
+        bars = np.flatnonzero(folded == ord("|"))
+        kind[bars[(bars > 0) & (folded[bars - 1] == ord("<"))]] = _ODD
+        odd = np.flatnonzero(kind == _ODD)
+        if len(odd):
+            gaps = np.concatenate([[-1], np.flatnonzero(kind == _SPACE), [len(kind)]])
+            at = np.searchsorted(gaps, odd)
+            at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+            step = np.zeros(len(kind) + 1, np.int8)
+            step[gaps[at - 1] + 1] = 1
+            step[gaps[at]] -= 1
+            whole = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+            kind[whole] = _ODD
+            folded[whole] = np.frombuffer(raw.translate(_WHITE), "u1")[whole]
+        new = kind == _DIGIT
+        new[1:] |= kind[1:] != kind[:-1]
+        new[:1] = True
+        real = kind != _SPACE
+        new &= real
+        begins = np.flatnonzero(new)
+        # without the white space, each word ends where the next begins
+        data = folded[real]
+        offsets = np.append(np.flatnonzero(new[real]), len(data))
+        del plain, folded, kind, new, real
+        words = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return begins, words.dictionary_encode()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        # the vocabulary has no capitals; those of ASCII are folded before pieces are compared, but where a special token's name may stand
-        folded = [t and (t if "<|" in t else t.encode().lower().decode()) for t in texts]
-        cut = [(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []) for t in folded]
-        todo = set().union(*cut)
-        new = list(todo.difference(self.known))
+        raws = [(t or "").encode() for t in texts]
+        bounds = np.cumsum([0, *(len(x) + 1 for x in raws)])
+        raw = b" ".join(raws)
+        del raws
+        begins, words = self._cut(raw)
+        bounds = np.searchsorted(begins, bounds)
+        del raw, begins
+        listed = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        names = pc.binary_join(listed, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(words) else []  # other white space may stand in a piece
+        places = list(map(self.known.get, names))
+        new = [w for w, n in zip(names, places) if n is None]
         if len(self.known) + len(new) > self.held:
-            # the pieces that are met again stay
-            self.known = {c: self.known[c] for c in todo.intersection(self.known)}
+            # the words that are met again stay
+            self._forget([n for n in places if n is not None], len(new))
         if new:
             self._learn(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]
+        numbers = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.met[numbers] += 1
+        got = self._ids().take(pa.array(numbers)).take(words.indices)
+        ends = np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1] // 4
+        ids = np.frombuffer(got.buffers()[2] or b"", "<u4")
+        return [ids[a:b] for a, b in itertools.pairwise(ends[bounds].tolist())]
 
 
 @lru_cache(2)
@@ -264,7 +326,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
             gc.enable()
         yield pd.DataFrame({"part": [part], "file": [f"{folder}/{name}"], "docs": [len(w.docs) // 2], "ids": [w.total]})
 
-    return [(r.file, r.docs, r.ids) for r in sorted(rows.mapInPandas(run, "part int, file string, docs long, ids long").collect())]
+    return [(r.file, r.docs, r.ids) for r in sorted(rows.mapInPandas(tidy(run), "part int, file string, docs long, ids long").collect())]
 
 
 def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:

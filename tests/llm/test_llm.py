@@ -478,6 +478,45 @@ def test_file_encoder_keeps_pieces_met_again():
     assert [x.tolist() for x in got] == [x.tolist() for x in whole] and sorted(learned) == ["five", "four", "one", "three", "two"]
 
 
+def test_file_encoder_learns_words_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, learned = idfile.Encoder(path), []
+    learn = e._learn
+    e._learn = lambda new: (learned.extend(new), learn(new))
+    texts = ["Word word, word. été7 ÉTÉ, word7!", "(word) It's it's été... 77"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(texts[:1]) + e.encode(texts[1:])] == want
+    assert sorted(learned) == sorted(["word", ",", ".", "été", "7", "!", "(", ")", "It's", "it's", "..."])
+
+
+def test_file_encoder_keeps_words_met_often():
+    import public_tokenizers
+
+    e, learned = idfile.Encoder(public_tokenizers.path("word_bpe_49k.json"), 8), []
+    learn, whole = e._learn, idfile.encoder(None)
+    e._learn = lambda new: (learned.extend(new), learn(new))
+    for text in ["the and", "the and", "a b c", "d e f", "g h i", "the and", "j k l"]:
+        assert [x.tolist() for x in e.encode([text])] == [x.tolist() for x in whole.encode([text])]
+        assert len(e.known) <= 8 and len(e.known) == len(e.ends) - 1 == len(e.met)
+    assert learned.count("the") == learned.count("and") == 1
+
+
+def test_file_encoder_composes_before_it_folds():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    t, e = Tokenizer.from_file(path), idfile.Encoder(path, 300)
+    # J and a caron stay two characters when folded, j and a caron are composed
+    texts = ["J\u030c", "a H\u0331 T\u0308 W\u030a Y\u030a", "É\u0323 <\u0338 \u0331h"]
+    texts += ["".join(r.choice("abJjHh  \n\x0b\x00\x7f\xa0'09²½.,<|>&éÉ×÷ßÿÞÃ\u030c\u0331\u0338İıſ\u212aΣςӁ漢😀¿’") for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(400)]
+    for at in range(0, len(texts), 50):
+        assert [x.tolist() for x in e.encode(texts[at : at + 50])] == [t.encode(x, add_special_tokens=False).ids for x in texts[at : at + 50]]
+
+
 def test_cuckoo_index():
     index, live, r = dedup.CuckooIndex(4), {}, random.Random(6)
     for i in range(6000):

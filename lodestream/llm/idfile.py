@@ -25,6 +25,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -144,13 +145,27 @@ _WHITE = bytes.maketrans(b"\t\n\r", b"   ")
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\r", bytes(range(97, 123)) + b"   ")
 
 
+def _two_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and small letter of the characters of two bytes; letters and signs that NFC changes, or whose small letter is no such character, are ODD."""
+    kind, small = np.full(0x800, _ODD, "u1"), np.arange(0x800, dtype="<u2")
+    for x in range(0xA0, 0x800):
+        c = chr(x)
+        if unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1 and ord(c.lower()) in range(0xA0, 0x800) and not unicodedata.combining(c):
+            kind[x] = {"L": _LETTER, "P": _OTHER, "S": _OTHER}.get(unicodedata.category(c)[0], _ODD)
+            small[x] = ord(c.lower())
+    return kind, small
+
+
+_KIND2, _SMALL2 = _two_bytes()
+
+
 class Encoder:
     """The tokenizers library behind a bounded store of words.
 
-    In pieces between white space of ASCII (without apostrophes and names of special tokens) and the letters from U+00C0 to U+00FF, the vocabulary's
-    normaliser only folds case, and its split pattern gives runs of letters, single digits and runs of others: these words are cut for many texts at
-    once, by bytes, and go straight to the library's BPE model, each distinct one once; a word's last id is the one with the end-of-word mark. Any
-    other piece goes, unfolded, through the library's whole chain.
+    In pieces between white space of ASCII (without apostrophes and names of special tokens) and the letters and signs of two bytes, no marks, the
+    vocabulary's normaliser only folds case, and its split pattern gives runs of letters, single digits and runs of others: these words are cut for
+    many texts at once, by bytes, and go straight to the library's BPE model, each distinct one once; a word's last id is the one with the end-of-word
+    mark. Any other piece goes, unfolded, through the library's whole chain.
     """
 
     def __init__(self, path: str, held: int = HELD):
@@ -171,7 +186,7 @@ class Encoder:
         # the model sees bytes as characters: printable Latin-1 as it is, the others from U+0100 on
         kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.shown = {x: 256 + n for n, x in enumerate(x for x in range(256) if x not in kept) if x != 32}
-        self.odd = re.compile("['\x00-\x20\x7f]|<\\||[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
+        self.odd = re.compile(f"['\x00-\x20\x7f]|<\\||[^\x00-\x7f{''.join(map(chr, np.flatnonzero(_KIND2 != _ODD)))}]").search
 
     def _learn(self, new: list[str]) -> None:
         """Put words that aren't known behind those that are."""
@@ -216,16 +231,17 @@ class Encoder:
         """Where each word of ``raw`` begins, and the words."""
         plain = raw.translate(_FOLD)
         folded, kind = np.frombuffer(bytearray(plain), "u1"), np.frombuffer(bytearray(plain.translate(_KIND)), "u1")
-        # two-byte letters: U+00C0 to U+00FF, but the signs of multiplication and division; capitals are 32 below
-        lead = np.flatnonzero(folded == 0xC3)
-        low = folded[lead + 1]
-        lead, low = lead[(low & 0x5F) != 0x17], low[(low & 0x5F) != 0x17]
-        big = low < 0x9F
-        folded[lead[big] + 1] = low[big] + 32
-        kind[lead] = kind[lead + 1] = _LETTER
+        lead = np.flatnonzero(folded & 0xE0 == 0xC0)
+        code = (folded[lead] & 31).astype("<u2") << 6 | folded[lead + 1] & 63
+        kind[lead] = kind[lead + 1] = _KIND2[code]
+        code = _SMALL2[code]
+        folded[lead], folded[lead + 1] = 0xC0 | code >> 6, 0x80 | code & 63
+        del lead, code
         bars = np.flatnonzero(folded == ord("|"))
         kind[bars[(bars > 0) & (folded[bars - 1] == ord("<"))]] = _ODD
-        odd = np.flatnonzero(kind == _ODD)
+        odd = kind == _ODD
+        odd[1:] &= kind[:-1] != _ODD
+        odd = np.flatnonzero(odd)
         if len(odd):
             gaps = np.concatenate([[-1], np.flatnonzero(kind == _SPACE), [len(kind)]])
             at = np.searchsorted(gaps, odd)

@@ -486,10 +486,10 @@ def test_file_encoder_learns_words_once():
     e, learned = idfile.Encoder(path), []
     learn = e._learn
     e._learn = lambda new: (learned.extend(new), learn(new))
-    texts = ["Word word, word. été7 ÉTÉ, word7!", "(word) It's it's été... 77"]
+    texts = ["Word word, word. été7 ÉTÉ, word7!", "(word) It's it's été... 77 «ЖАР» жар,"]
     want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in e.encode(texts[:1]) + e.encode(texts[1:])] == want
-    assert sorted(learned) == sorted(["word", ",", ".", "été", "7", "!", "(", ")", "It's", "it's", "..."])
+    assert sorted(learned) == sorted(["word", ",", ".", "été", "7", "!", "(", ")", "It's", "it's", "...", "«", "»", "жар"])
 
 
 def test_file_encoder_keeps_words_met_often():
@@ -512,7 +512,7 @@ def test_file_encoder_composes_before_it_folds():
     t, e = Tokenizer.from_file(path), idfile.Encoder(path, 300)
     # J and a caron stay two characters when folded, j and a caron are composed
     texts = ["J\u030c", "a H\u0331 T\u0308 W\u030a Y\u030a", "É\u0323 <\u0338 \u0331h"]
-    texts += ["".join(r.choice("abJjHh  \n\x0b\x00\x7f\xa0'09²½.,<|>&éÉ×÷ßÿÞÃ\u030c\u0331\u0338İıſ\u212aΣςӁ漢😀¿’") for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(400)]
+    texts += ["".join(r.choice("abJjHh  \n\x0b\x00\x7f\xa0'09²½.,<|>&éÉ×÷ßÿÞÃ\u030c\u0331\u0338İıſ\u212aΣςӁ漢😀¿’ęŁЖЙאب«»ǰŉ") for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(400)]
     for at in range(0, len(texts), 50):
         assert [x.tolist() for x in e.encode(texts[at : at + 50])] == [t.encode(x, add_special_tokens=False).ids for x in texts[at : at + 50]]
 

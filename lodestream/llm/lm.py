@@ -161,18 +161,43 @@ def _numbered(classes: int, n: int, v: int, rest: int, docs: pd.DataFrame, words
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def gradient(h: np.ndarray, seen: np.ndarray, noise: np.ndarray, bias: tuple[np.ndarray, np.ndarray], floor: tuple[np.ndarray, np.ndarray]) -> tuple:
+def distinct(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``x``, all below ``k``, in order, and for each of ``x`` which of them it is."""
+    met = np.zeros(k, bool)
+    met[x] = True
+    own = np.flatnonzero(met)
+    number = np.empty(k, np.intp)
+    number[own] = np.arange(len(own))
+    return own, number[x]
+
+
+def totals(at: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Sums of the rows of ``x`` by their numbers ``at``, all below ``k``."""
+    places = np.arange(k * x.shape[1]).reshape(k, -1)
+    return np.bincount(places.take(at, 0).reshape(-1), x.reshape(-1), places.size).reshape(places.shape).astype(x.dtype)
+
+
+def gradient(h: np.ndarray, seen: np.ndarray, noise: np.ndarray, bias: tuple[np.ndarray, np.ndarray], floor: tuple[np.ndarray, np.ndarray], at: np.ndarray | None = None) -> tuple:
     """Noise-contrastive gradients of a batch: for contexts ``h``, the vectors of the seen words and of the noise, and both biases.
 
-    ``floor`` is the log of (noise words a seen word * their probability), for both. The loss is the sum of
-    -log s(x) over seen words and -log(1 - s(x)) over every context and noise word, with x a logit less its floor.
+    ``floor`` is the log of (noise words a seen word * their probability), for both; ``at`` is the row of ``h`` that each seen word
+    follows (without it, its own), so a context that occurs often meets the noise once and counts as often. The loss is the sum of
+    -log s(x) over seen words and -log(1 - s(x)) over every seen word's context and noise word, with x a logit less its floor.
     """
-    up = -sigmoid(-((h * seen).sum(1) + bias[0] - floor[0]))
-    down = sigmoid(h @ noise.T + (bias[1] - floor[1]))
-    return up[:, None] * seen + down @ noise, up[:, None] * h, down.T @ h, up, down.sum(0)
+    at = np.arange(len(h)) if at is None else at
+    own, times = h.take(at, 0), np.bincount(at, minlength=len(h)).astype(h.dtype)
+    up = -sigmoid(floor[0] - bias[0] - np.einsum("ij,ij->i", own, seen))
+    down = h @ noise.T
+    down += bias[1] - floor[1]
+    sigmoid(down)
+    return totals(at, up[:, None] * seen, len(h)) + times[:, None] * (down @ noise), up[:, None] * own, down.T @ (times[:, None] * h), up, times @ down
 
 
 class Place:
@@ -186,23 +211,18 @@ class Place:
 
     def descend(self, c: np.ndarray, w: np.ndarray, drawn: np.ndarray, floor: np.ndarray, touched: tuple[np.ndarray, np.ndarray]) -> None:
         """One step on contexts ``c``, their words ``w`` and the noise ``drawn``."""
-        uc, ic = np.unique(c, return_inverse=True)
-        uw, iw = np.unique(np.concatenate((w, drawn)), return_inverse=True)
-        seen, noise = iw[: len(w)], iw[len(w) :]
-        own, words, f = self.context[uc], self.word[uw], floor[uw]
-        h, r, b = own[ic, :DIM], words[:, :DIM], words[:, DIM]
-        gh, up, down, bu, bd = gradient(h, r[seen], r[noise], (b[seen], b[noise]), (f[seen], f[noise]))
-        gw = np.concatenate((up, down))
-        gc_, gr = np.empty((len(uc), DIM), np.float32), np.empty((len(uw), DIM), np.float32)
-        for k in range(DIM):
-            gc_[:, k] = np.bincount(ic, gh[:, k], len(uc))
-            gr[:, k] = np.bincount(iw, gw[:, k], len(uw))
-        gb = np.bincount(iw, np.concatenate((bu, bd)), len(uw)).astype(np.float32)
-        own[:, DIM] += (gc_ * gc_).mean(1)
-        words[:, DIM + 1] += (gr * gr).mean(1)
+        k, n = len(floor), len(w)
+        (uc, ic), (uw, iw) = distinct(c, k), distinct(np.concatenate((w, drawn)), k)
+        own, words, f = self.context.take(uc, 0), self.word.take(uw, 0), floor[uw]
+        h, r, b = (np.ascontiguousarray(x) for x in (own[:, :DIM], words[:, :DIM], words[:, DIM]))
+        seen, noise = iw[:n], iw[n:]
+        gc_, up, down, bu, bd = gradient(h, r.take(seen, 0), r.take(noise, 0), (b[seen], b[noise]), (f[seen], f[noise]), ic)
+        gr, gb = totals(iw, np.concatenate((up, down)), len(uw)), np.bincount(iw, np.concatenate((bu, bd)), len(uw)).astype(np.float32)
+        own[:, DIM] += np.einsum("ij,ij->i", gc_, gc_) / DIM
+        words[:, DIM + 1] += np.einsum("ij,ij->i", gr, gr) / DIM
         words[:, DIM + 2] += gb * gb
-        own[:, :DIM] -= RATE * gc_ / np.sqrt(own[:, DIM:] + 1e-3)
-        words[:, :DIM] -= RATE * gr / np.sqrt(words[:, DIM + 1 : DIM + 2] + 1e-3)
+        own[:, :DIM] = h - gc_ * (RATE / np.sqrt(own[:, DIM:] + 1e-3))
+        words[:, :DIM] = r - gr * (RATE / np.sqrt(words[:, DIM + 1 : DIM + 2] + 1e-3))
         words[:, DIM] -= 0.1 * RATE * gb / np.sqrt(words[:, DIM + 2] + 1e-3)
         self.context[uc], self.word[uw] = own, words
         touched[0][uc] += np.bincount(ic)
@@ -212,8 +232,8 @@ class Place:
         """Log normalisers of the contexts from ``a`` up to ``b``."""
         r, bias = self.word[:, :DIM].T.copy(), self.word[:, DIM]
         out = []
-        for k in range(a, b, 128):
-            x = self.context[k : min(b, k + 128), :DIM] @ r
+        for k in range(a, b, 16):  # as many as a core's cache holds
+            x = self.context[k : min(b, k + 16), :DIM] @ r
             x += bias
             top = x.max(1)
             x -= top[:, None]
@@ -222,7 +242,11 @@ class Place:
 
     def log(self, c: np.ndarray, w: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """Natural log of the probability of class ``w`` after ``c``."""
-        return np.concatenate([(self.context[c[k : k + 65536], :DIM] * self.word[w[k : k + 65536], :DIM]).sum(1) + self.word[w[k : k + 65536], DIM] - norm[c[k : k + 65536]] for k in range(0, len(w), 65536)])
+        h, r, bias = (np.ascontiguousarray(x) for x in (self.context[:, :DIM], self.word[:, :DIM], self.word[:, DIM]))
+        out = bias.take(w) - norm.take(c)
+        for k in range(0, len(w), 4096):
+            out[k : k + 4096] += np.einsum("ij,ij->i", h.take(c[k : k + 4096], 0), r.take(w[k : k + 4096], 0))
+        return out
 
 
 class Model:
@@ -326,8 +350,9 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     with scratch(spark):
         chunks = cut(chunked(docs, F.coalesce(learn, F.lit(False)), doc_id, text), "lm-chunks")
         every = Window.partitionBy("word")
-        words = chunks.filter("place >= 0").select("chunk", "place", "word", "n")
-        counted = cut(words.select("chunk", "place", "word", (F.row_number().over(every.orderBy("chunk")) == 1).alias("first"), F.sum("n").over(every).alias("c")), "lm-counted")
+        words = chunks.filter("place >= 0").select("chunk", "place", "word", F.sum("n").over(every).alias("c"), F.min("chunk").over(every).alias("met"))
+        kept = F.when((F.col("c") >= least) | (F.length("word") == 0), F.col("word"))  # of other words only the counts are needed
+        counted = cut(words.select("chunk", "place", kept.alias("word"), (F.col("chunk") == F.col("met")).alias("first"), "c"), "lm-counted")
         n, v, end = counted.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
         known = cut(vocabulary_of(counted, vocabulary, least), "lm-vocabulary")
         top = np.array([r.c for r in known.select("c", "number").orderBy("number").collect()], np.int64)

@@ -387,6 +387,51 @@ def test_lm_gradient():
             assert (up - down) / 2e-6 == pytest.approx(g[i], abs=1e-5)
 
 
+def test_lm_gradient_of_repeated_contexts():
+    r = np.random.default_rng(5)
+    own, seen, noise = (r.standard_normal((n, 4)) for n in (5, 40, 3))
+    at = r.integers(0, 4, 40)  # the last context occurs nowhere
+    bias, floor = [tuple(r.standard_normal(n) for n in (40, 3)) for _ in range(2)]
+    want = lm.gradient(own[at], seen, noise, bias, floor)
+    got = lm.gradient(own, seen, noise, bias, floor, at)
+    sums = np.zeros_like(own)
+    np.add.at(sums, at, want[0])
+    assert all(np.allclose(x, y) for x, y in zip(got, (sums, *want[1:])))
+
+
+def test_lm_step(monkeypatch):
+    r, k, d = np.random.default_rng(6), 50, lm.DIM
+    m = lm.Place(np.full(k, 1 / k), 0)
+    for x, sums in ((m.context, 1), (m.word, 2)):
+        x[:, -sums:] = r.random((k, sums))
+    c, w, drawn = (r.integers(0, high, n).astype(np.uint16) for high, n in ((9, 300), (k, 300), (k, 20)))
+    floor, touched = r.standard_normal(k).astype(np.float32), (np.zeros(k, np.int64), np.zeros(k, np.int64))
+    context, word = m.context.astype(float), m.word.astype(float)
+    gh, gr = np.zeros((k, d)), np.zeros((k, d + 1))
+    for i, j in zip(c, w):  # one seen word after the other, the noise anew for each
+        h = context[i, :d]
+        up = -1 / (1 + np.exp(h @ word[j, :d] + word[j, d] - floor[j]))
+        gh[i] += up * word[j, :d]
+        gr[j] += up * np.append(h, 1)
+        for x in drawn:
+            down = 1 / (1 + np.exp(floor[x] - h @ word[x, :d] - word[x, d]))
+            gh[i] += down * word[x, :d]
+            gr[x] += down * np.append(h, 1)
+    uc, uw = np.unique(c), np.unique(np.append(w, drawn))
+    context[uc, d] += (gh[uc] ** 2).mean(1)
+    word[uw, d + 1] += (gr[uw, :d] ** 2).mean(1)
+    word[uw, d + 2] += gr[uw, d] ** 2
+    context[uc, :d] -= lm.RATE * gh[uc] / np.sqrt(context[uc, d:] + 1e-3)
+    word[uw, :d] -= lm.RATE * gr[uw, :d] / np.sqrt(word[uw, d + 1 : d + 2] + 1e-3)
+    word[uw, d] -= 0.1 * lm.RATE * gr[uw, d] / np.sqrt(word[uw, d + 2] + 1e-3)
+    met, plain = [], lm.gradient
+    monkeypatch.setattr(lm, "gradient", lambda h, *more: met.append(len(h)) or plain(h, *more))
+    m.descend(c, w, drawn, floor, touched)
+    assert met == [len(uc)]  # the noise meets each distinct context once, not each token
+    assert np.allclose(m.context, context, rtol=1e-4, atol=1e-5) and np.allclose(m.word, word, rtol=1e-4, atol=1e-5)
+    assert touched[0].tolist() == np.bincount(c, minlength=k).tolist() and touched[1].tolist() == np.bincount(np.append(w, drawn), minlength=k).tolist()
+
+
 def test_lm_learns(spark):
     r = random.Random(3)
     pairs = [("salt", "pepper"), ("king", "queen"), ("left", "right"), ("day", "night")]

@@ -26,18 +26,18 @@ longer than a chunk is a chunk of its own); an empty table gives no rows; furthe
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, work_dir
+from .common import cut, scratch, slices, tidy, work_dir
 
 VOCABULARY, LEAST = 32_768, 5
 CHUNK = 1_000_000
@@ -71,53 +71,73 @@ def name(word: bytes) -> bytes:
     return word if len(word) <= _LONG else b" " + hashlib.blake2b(word, digest_size=32).digest()
 
 
+def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    flat, edges = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # blanks at an end of a text leave empty parts
+    at = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64))
+    return flat.filter(full), np.diff(at[edges - edges[0]])
+
+
+_CHUNKS = "chunk long, place int, word binary, n long, ids array<string>, sizes binary, learn binary, codes binary"
+_ARROW = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.string())), *((k, pa.binary()) for k in ("sizes", "learn", "codes"))])
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    """A batch of ``_CHUNKS``; columns that aren't given are null."""
+    n = len(columns["chunk"])
+    return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+
+
 class _Chunk:
     """Documents as numbers of the chunk's own words."""
 
     def __init__(self):
-        self.words: defaultdict[bytes, int] = defaultdict()
-        self.words.default_factory = self.words.__len__
-        self.words[b""]  # the end is number 0
-        self.ids, self.learn, self.sizes, self.codes, self.tokens = [], [], [], [], 0
-
-    def add(self, doc_id: str | None, learn: bool, text: str | None) -> None:
-        own = (text or "").encode().lower().split()
-        own.append(b"")
-        self.codes.append(np.fromiter(map(self.words.__getitem__, own), np.int32, len(own)))
-        self.ids.append(doc_id)
-        self.learn.append(learn)
-        self.sizes.append(len(own))
-        self.tokens += len(own)
-
-    def rows(self, chunk: int) -> Iterator[pd.DataFrame]:
-        codes, learn, sizes = np.concatenate(self.codes), np.array(self.learn, bool), np.array(self.sizes, "<i8")
-        n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(self.words))
-        yield pd.DataFrame({"chunk": chunk, "place": [-1], "word": [None], "n": [0], "ids": [self.ids], "sizes": [_pack(sizes)], "learn": [_pack(learn)], "codes": [_pack(codes.astype("<i4"))]})
-        yield pd.DataFrame({"chunk": chunk, "place": np.arange(len(n)), "word": list(map(name, self.words)), "n": n, "ids": None, "sizes": None, "learn": None, "codes": None})
-
-
-_CHUNKS = "chunk long, place int, word binary, n long, ids array<string>, sizes binary, learn binary, codes binary"
+        self.ids, self.learn, self.sizes, self.words, self.tokens = [], [], [], [], 0
+
+    def add(self, ids: list[str | None], learn: list[bool], words: pa.Array, sizes: np.ndarray) -> None:
+        """Documents of ``sizes`` tokens, ends counted; ``words`` has no ends."""
+        self.ids += ids
+        self.learn += learn
+        self.sizes.append(sizes)
+        self.words.append(words)
+        self.tokens += int(sizes.sum())
+
+    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        own, learn, sizes = pa.chunked_array(self.words).dictionary_encode().combine_chunks(), np.array(self.learn, bool), np.concatenate(self.sizes)
+        codes, word = np.ones(self.tokens, np.bool_), own.dictionary.cast(pa.binary())
+        codes[np.cumsum(sizes) - 1] = False
+        at, codes = np.flatnonzero(codes), np.zeros(self.tokens, "<i4")  # the end is number 0
+        codes[at] = own.indices.to_numpy() + 1
+        n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(word) + 1)
+        long = pc.greater(pc.binary_length(word), _LONG)
+        word = pc.replace_with_mask(word, long, pa.array(map(name, word.filter(long).to_pylist()), pa.binary()))
+        yield _rows(chunk=pa.array([chunk]), place=pa.array([-1], pa.int32()), n=pa.array([0]), ids=pa.array([self.ids], pa.list_(pa.string())), **{k: pa.array([_pack(x)], pa.binary()) for k, x in (("sizes", sizes), ("learn", learn), ("codes", codes))})
+        yield _rows(chunk=pa.array(np.full(len(n), chunk)), place=pa.array(np.arange(len(n), dtype=np.int32)), word=pa.concat_arrays([pa.array([b""]), word]), n=pa.array(n))
 
 
 def chunked(docs: DataFrame, learn: Column, doc_id: str, text: str) -> DataFrame:
     """Per chunk its documents (place -1) and one row a distinct word, with its number and its count among training tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chunk = TaskContext.get().partitionId() << 32, _Chunk()
-        gc.disable()  # millions of small objects without cycles
-        try:
-            for b in batches:
-                for i, y, t in zip(b["id"], b["learn"], b["text"]):
-                    chunk.add(i, y, t)
-                    if chunk.tokens >= CHUNK:
-                        yield from chunk.rows(at)
-                        at, chunk = at + 1, _Chunk()
-            if chunk.ids:
-                yield from chunk.rows(at)
-        finally:
-            gc.enable()
-
-    return docs.select(F.col(doc_id).cast("string").alias("id"), learn.alias("learn"), F.col(text).alias("text")).mapInPandas(run, _CHUNKS)
+        for b in slices(batches):
+            ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
+            words, sizes = words_of(b.column(2))
+            edges, tokens = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(sizes + 1))
+            k = 0
+            while k < len(ids):
+                to = min(len(ids), int(np.searchsorted(tokens, tokens[k] + CHUNK - chunk.tokens)))
+                chunk.add(ids[k:to], own[k:to], words[edges[k] : edges[to]], sizes[k:to] + 1)
+                k = to
+                if chunk.tokens >= CHUNK:
+                    yield from chunk.rows(at)
+                    at, chunk = at + 1, _Chunk()
+        if chunk.ids:
+            yield from chunk.rows(at)
+
+    return docs.select(F.col(doc_id).cast("string").alias("id"), learn.alias("learn"), F.col(text).alias("text")).mapInArrow(tidy(run), _CHUNKS)
 
 
 def vocabulary_of(counted: DataFrame, most: int, least: int) -> DataFrame:
@@ -319,7 +339,7 @@ def train(numbered: DataFrame, noise: np.ndarray, tokens: int) -> Model:
                 m.context, m.word = x.context.copy(), x.word.copy()
             return train_round(own, b, turn, TaskContext.get().partitionId())
 
-        for r in rows.mapInPandas(run, _BLOCKS).repartition("key").mapInPandas(_average, _BLOCKS).toLocalIterator():
+        for r in rows.mapInPandas(tidy(run), _BLOCKS).repartition("key").mapInPandas(_average, _BLOCKS).toLocalIterator():
             p, kind, at = map(int, r.key.split())
             n = np.frombuffer(r.n, np.float64)
             x = np.frombuffer(r.x, np.float64).reshape(len(n), -1)
@@ -380,5 +400,5 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
                 yield pd.DataFrame({"id": ids, "n_tokens": sizes, "n_known": seen.astype(np.int64), "train_tokens": n, "base_score": base, "score": own + tail})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = numbered.select("ids", "sizes", "w", "sums").mapInPandas(run, "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    got = numbered.select("ids", "sizes", "w", "sums").mapInPandas(tidy(run), "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return got.select(F.col("id").cast(kind).alias(doc_id), *got.columns[1:])

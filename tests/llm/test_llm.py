@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,23 @@ def test_lm_words_and_ids(spark, monkeypatch):
     assert got == {"a\nb": (4, 4, 4), "": (4, 3, 4), None: (1, 1, 4), "c": (4, 1, 4)}
 
 
+def test_lm_words():
+    r = random.Random(8)
+    texts = [None, "", " ", "A\x1cB \x85 İI K", " x\t", "\x0b\x0cÉ é\x00E", None] + ["".join(r.choice("aB \t\n\x0b\r\x1c\x85é😀") for _ in range(r.randint(0, 30))) for _ in range(300)]
+    for skip in (0, 3):
+        words, sizes = lm.words_of(pa.array(texts, pa.string()).slice(skip))
+        want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts[skip:]]
+        assert [w.encode() for w in words.to_pylist()] == [w for t in want for w in t] and sizes.tolist() == list(map(len, want))
+    chunk = lm._Chunk()
+    for at in range(0, len(texts), 50):
+        words, sizes = lm.words_of(pa.array(texts[at : at + 50], pa.string()))
+        chunk.add(texts[at : at + 50], [True] * len(sizes), words, sizes + 1)
+    docs, own = chunk.rows(9)
+    names, codes = own.column("word").to_pylist(), lm._open(docs.column("codes")[0].as_py(), "<i4")
+    assert [names[x] for x in codes] == [w for t in texts for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]]
+    assert len(set(names)) == len(names) and own.column("n").to_pylist() == np.bincount(codes).tolist()
+
+
 def test_lm_vocabulary(spark):
     words = [(f"w{i}".encode(), n) for i, n in enumerate([900, 50, 50, 9, 9, 9, 5, 4, 4])] + [(b"", 1000)]
     df = spark.createDataFrame([(w, n, True) for w, n in words] + [(b"w0", 900, False)], "word binary, c long, first boolean")

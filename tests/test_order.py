@@ -141,6 +141,56 @@ def test_als_checkpoints_and_lists_only_unseen(spark, monkeypatch):
     assert sum(r.user_id % 3 == r.item_id % 3 for r in got) > 150
 
 
+def test_als_blocks_train_as_sparks_own(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    from lodestream.operators import recommend
+
+    rng = np.random.default_rng(11)
+    rows = sorted({(int(u), int(i) - 60) for u, i in zip(rng.integers(0, 90, 1500), rng.integers(0, 120, 1500))} | {(7, i) for i in range(-60, 60)})
+    ratings = spark.createDataFrame([(u, i, 5) for u, i in rows + rows[:50]], "user_id long, item_id long, rating int")
+    asked, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df: asked.append((self.getMaxIter(), df.count())) or fit(self, df))
+    got = recommend.als_recommend(ratings, 130, factors=6, iterations=4).collect()
+    assert asked == [(0, 90)]  # Spark gives the start only, from one rating of each user
+    pairs = spark.createDataFrame([(u, i, 1.0) for u, i in rows], "user_id int, item_id int, value double")
+    m = fit(ALS(rank=6, regParam=0.01, maxIter=4, implicitPrefs=True, userCol="user_id", itemCol="item_id", ratingCol="value", seed=42, numUserBlocks=4, numItemBlocks=4), pairs)
+    u, v = ({r.id: np.array(r.features) for r in f.collect()} for f in (m.userFactors, m.itemFactors))
+    want = {(a, b): u[a] @ v[b] for a in u for b in v}
+    want = {p: s for p, s in want.items() if p not in set(rows)}
+    assert {(r.user_id, r.item_id) for r in got} == set(want) and max(abs(want[r.user_id, r.item_id] - r.score) for r in got) < 1e-5
+
+
+def test_search_leaves_out_only_what_cannot_win(spark, monkeypatch):
+    from lodestream.operators import recommend, search
+
+    met, leaf = [], search.Queries._leaf
+    rng = np.random.default_rng(12)
+    base = np.eye(8)[rng.integers(0, 8, 700)] * rng.uniform(0.2, 3, (700, 1)) + rng.normal(0, 0.01, (700, 8))
+    x, q, ids = base[:500].astype(np.float32), base[500:].astype(np.float32), np.arange(500)
+    x[100:140] = x[100]  # equal scores: smaller ids win
+    row = {"no": 0, "id": np.arange(200).tobytes(), "x": q.tobytes(), "who": np.zeros(1, np.int32).tobytes(), "saw": np.array([int(np.argmax(q[0] @ x.T))]).tobytes()}
+    monkeypatch.setattr(search, "LEAF", 25)
+    monkeypatch.setattr(search.Queries, "_leaf", lambda self, a, b, i, *r: met.append((b - a) * len(i)) or leaf(self, a, b, i, *r))
+    monkeypatch.setattr(search.leaves, "__defaults__", (25,))
+    first = search.Queries(row, 5, np.float32)
+    for at in range(0, 500, 100):
+        first.meet(ids[at : at + 100], x[at : at + 100], True)
+    second = search.Queries(row | {"tops": [first.tops().column(1)[0].as_py()]}, 5, np.float32)
+    met.clear()
+    for at in range(0, 500, 100):
+        second.meet(ids[at : at + 100], x[at : at + 100], False)
+    assert sum(met) < 200 * 500 / 2
+    score = q.astype(float) @ x.astype(float).T
+    score[0, np.argmax(score[0])] = -np.inf
+    want = {(a, int(i)) for a in range(200) for i in np.lexsort((ids, -np.round(score[a], 12)))[:5]}
+    assert {(r["query_id"], r["item_id"]) for r in second.found().to_pylist()} == want
+    items = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "item_id long, vector array<float>")
+    asked = spark.createDataFrame([(a, v.tolist()) for a, v in enumerate(q)], "query_id long, vector array<float>")
+    seen = spark.createDataFrame([(0, int(np.argmax(q[0] @ x.T)))], "query_id long, item_id long")
+    assert {(r.query_id, r.item_id) for r in recommend.vector_topk(asked, items, 5, seen, block=64, at_once=20).collect()} == want
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(d,) for d in range(10)], "day int")
     got = {(r.fold, r.part): sorted(r.d) for r in models.expanding_folds(df, "day", 4).groupBy("fold", "part").agg(F.collect_list("day").alias("d")).collect()}
